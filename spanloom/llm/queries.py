@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding
+from . import minhash, mixing, quality_rules, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,12 +20,16 @@ def over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": over("documents", token_counts.query),
     "op3_quality_rules": over("documents", quality_rules.query),
+    "op5_minhash_dedup": over("documents", minhash.query),
     "op7_mixing": over("documents", mixing.query),
+    "op8_warc": over("pages", warc.query),
     "op10_sharding": over("documents", sharding.query),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
     "op7_mixing": mixing.oracle(),
+    "op8_warc": warc.oracle(),
 }
