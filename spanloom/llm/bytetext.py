@@ -69,13 +69,15 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    prefix: list[np.ndarray]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES, lower: np.ndarray | None = LOWER, spans: bool = False) -> Words:
-    """spans: keep start and end (else empty arrays)."""
+def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES, lower: np.ndarray | None = LOWER, spans: bool = False, prefixes: tuple[int, ...] = ()) -> Words:
+    """spans: keep start and end (else empty arrays).  prefixes: also the hashes of the first so many bytes of longer words (else 0)."""
     global _pow, _inv
     n, at = len(data), 0
     texts, starts, ends, hashes = [], [], [], []
+    heads: list[list[np.ndarray]] = [[] for _ in prefixes]
     while at < n:
         stop = min(at + PIECE, n)
         while stop < n and not spaces[data[stop]]:  # to the next space or the next text
@@ -105,13 +107,16 @@ def words(data: np.ndarray, offsets: np.ndarray, spaces: np.ndarray = SPACES, lo
             sums = np.zeros(len(x) + 1, dtype=U)
             np.cumsum(v * _pow[: len(x)], out=sums[1:])
             hashes.append(mix((sums[e] - sums[s]) * _inv[s] ^ (e - s).astype(U) * U(0xD6E8FEB86659FD93)))
+            for out, k in zip(heads, prefixes, strict=True):
+                cut_at = np.minimum(s + k, len(x))
+                out.append(np.where(e - s > k, mix((sums[cut_at] - sums[s]) * _inv[s] ^ U(k * 0x9E3779B9)), U(0)))
             texts.append((np.searchsorted(offsets, s + at, side="right") - 1).astype(np.int64))
             if spans:
                 starts.append(s + at)
                 ends.append(e + at)
         at = stop
     cat = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
-    return Words(cat(texts, np.int64), cat(starts, np.int64), cat(ends, np.int64), cat(hashes, U))
+    return Words(cat(texts, np.int64), cat(starts, np.int64), cat(ends, np.int64), cat(hashes, U), [cat(h, U) for h in heads])
 
 
 @dataclass

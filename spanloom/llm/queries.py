@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality_rules, sharding, token_counts, warc
+from . import decontaminate, minhash, mixing, quality_mil, quality_rules, sharding, token_counts, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,16 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def over(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(table(spark, sf_dir, name))
+def over(names: str, f: Callable[..., DataFrame]) -> Query:
+    """f of the whole tables named."""
+    return lambda spark, sf_dir: f(*[table(spark, sf_dir, n) for n in names.split()])
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": over("documents", token_counts.query),
+    "op2_quality_mil": over("documents labels", quality_mil.query),
     "op3_quality_rules": over("documents", quality_rules.query),
+    "op4_decontamination": over("documents benchmark", decontaminate.query),
     "op5_minhash_dedup": over("documents", minhash.query),
     "op7_mixing": over("documents", mixing.query),
     "op8_warc": over("pages", warc.query),
+    "op9_toxicity": over("documents labels", toxicity.query),
     "op10_sharding": over("documents", sharding.query),
 }
 
