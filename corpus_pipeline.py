@@ -1,23 +1,52 @@
-"""From raw documents to a training mix: STAGES of operators, each written as Parquet and read again."""
+"""From raw documents to a sharded training mix: five stages, each written as Parquet and read again.
+
+Each stage works on all rows its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import common, mixing, sharding
+from spanloom.llm import common, decontaminate, minhash, mixing, quality_mil, sharding
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    common.release(spark, unless_read_by=docs)
+    return quality_mil.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    common.release(spark, unless_read_by=docs)
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item."""
+    common.release(spark, unless_read_by=docs)
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source's documents as often as its target asks."""
     common.release(spark, unless_read_by=docs)
     return mixing.mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds virtual_slot and shard."""
     common.release(spark, unless_read_by=docs)
     return sharding.assign(docs)
 
 
-STAGES = [("mixing sources to target weights", mixing_to_weights), ("sharding", shard)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_to_weights),
+    ("sharding", shard),
+]
 
 #: No SQL expresses the classifier's scores; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -26,7 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = common.new_path(spark, "pipeline-" + name.split()[0]).replace("/spanloom-", "/spanloom-run-", 1)
+        path = common.kept_path(spark, "pipeline-" + name.split()[0])
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

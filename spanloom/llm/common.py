@@ -32,6 +32,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spanloom-{_APP}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that release() leaves alone."""
+    return f"{shared_dir(spark)}/spanloom-kept/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage is cut, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, mixing, quality_mil, quality_rules, sharding, token_counts, toxicity, warc
+from . import decontaminate, minhash, mixing, quality_mil, quality_rules, sharding, token_counts, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": over("documents", quality_rules.query),
     "op4_decontamination": over("documents benchmark", decontaminate.query),
     "op5_minhash_dedup": over("documents", minhash.query),
+    "op6_url_filter": over("pages labels", url_filter.query),
     "op7_mixing": over("documents", mixing.query),
     "op8_warc": over("pages", warc.query),
     "op9_toxicity": over("documents labels", toxicity.query),

@@ -29,10 +29,12 @@ from .bytetext import NOT_ALNUM, U, byte_set, slices, utf8, words
 from .common import stage
 from .quality_mil import held_out, training_rows
 
-TRAIN_DOCS, TRAIN_BYTES = 6000, 200_000
+TRAIN_DOCS, TRAIN_BYTES = 9000, 200_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 PREFIXES = (4, 5, 6, 7, 8, 10)
 FORMS, LEAST_DOCS, LEAST_LLR = 600, 4, 20.0
+#: Ridge on the weights of single forms, of scaled columns.
+FORM_RIDGE = 300.0
 #: Least share of toxic documents among those that hold a form, in the first and second tier.
 TIERS = (0.97, 0.8)
 SLICE_BYTES = 2 << 20
@@ -172,11 +174,11 @@ def features(by: np.ndarray, has: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(lex), (lex > 0), np.log1p(lex.sum(axis=1, keepdims=True)), np.log1p(1000 * lex.sum(axis=1, keepdims=True) / np.maximum(total, 1)[:, None]), np.minimum(by[:, -3:], 5), has], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 12) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 3.0, rounds: int = 12) -> tuple[np.ndarray, float]:
     """Newton's method for ridge-penalised logistic regression on soft labels; columns are scaled inside."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     z = np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
-    penalty = np.diag(np.append(np.full(x.shape[1], ridge), 1e-6))
+    penalty = np.diag(np.append(np.broadcast_to(ridge, x.shape[1]), 1e-6))
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
@@ -222,7 +224,8 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
     given = np.where(y > 0, 1, -1).astype(np.int8)[:, None]
     posterior = label_model(np.concatenate([lexicon.votes(by), given], axis=1), start, float(np.clip(y.mean(), 0.01, 0.99)))
     x = features(by, has, total)
-    w, d = logistic(x, posterior)
+    # The voters' counts carry the score; a single form only corrects it.
+    w, d = logistic(x, posterior, ridge=np.where(np.arange(x.shape[1]) < x.shape[1] - lexicon.n_forms, 3.0, FORM_RIDGE))
     # Scores are calibrated on the training labels: one slope and one intercept.
     slope, shift = logistic((x @ w + d)[:, None], y, ridge=0.1)
     return Model(lexicon, w * slope[0], float(d * slope[0] + shift))
