@@ -59,7 +59,7 @@ def definition_sentence(word: Column, pos: Column, gloss: Column) -> Column:
 
 def section_sentence(label: str, items: Column) -> Column:
     """"Label are a, b." for the items left after blanks and "(none)"; null if none is."""
-    left = F.filter(F.transform(items, F.trim), lambda x: (x != "") & (x != "(none)"))
+    left = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: (x != "") & (x != "(none)"))
     verb, joiner = ("include" if "example" in label.lower() else "are"), (", " if "lemma" in label.lower() else "; ")
     return F.when(F.size(left) > 0, ensure_sentence(F.concat(F.lit(f"{label} {verb} "), F.array_join(left, joiner))))
 
