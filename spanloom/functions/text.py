@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Patterns of protected text.  (fixed values)
 ACRONYM = r"\b[A-Z]{2,}\b"
@@ -76,7 +77,7 @@ def ascii_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.regexp_replace(c, TITLE_KEEPS, " "), ".", " "), r"\s+", " "))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """NFKC and case folding, which Spark has no function for."""
     for col in batches:
