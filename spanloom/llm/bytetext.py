@@ -136,7 +136,7 @@ def shingles(w: Words, n_texts: int, k: int) -> Shingles:
     first = np.concatenate([[0], np.cumsum(have)])
     n = len(w.hash)
     acc = np.zeros(max(0, n - k + 1), dtype=U)
-    for j in range(k):
+    for j in range(k if len(acc) else 0):
         acc += w.hash[j : n - k + 1 + j] * mult[j]
     out = np.empty(first[-1], dtype=U)
     whole = w.text[: len(acc)] == w.text[k - 1 :] if len(acc) else np.zeros(0, bool)

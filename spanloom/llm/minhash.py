@@ -6,14 +6,17 @@ signature places for one evaluation.  BANDS bands of ROWS places each meet for a
 
 1. One pass over the texts gives set size, a 128-bit hash of the word sequence, and band keys.
 2. Equal sequences form a class; its smallest id stands for it, so groups of copies cost one row afterwards.
-3. Band keys that several representatives share are buckets.  Each bucket names a leader; every other member is a candidate
-   with the leader only, never with all others.
-4. Candidates are confirmed on full shingle sets; confirmed links give components (alternating large and small star).
-5. While a bucket still holds members of different components, its leader (tested against all) leaves and a member outside
-   its largest component leads next.  After STAR_ROUNDS the rest is compared in full; buckets of over CROWD members first split
-   by each second band key, as linked pairs share many bands.  No bucket is capped.
+3. Band keys that several representatives share are buckets.  The smallest id of a bucket leads it; every other member is a
+   candidate with the leader only, never with all others.
+4. Candidates are confirmed on full shingle sets; confirmed links give components.
+5. All members that ever met one leader form its group.  A group whose members still stand in different components is open: its strays
+   (members outside the leader's component) are compared with the other members, in blocks of BLOCK by BLOCK that carry one byte of each
+   signature place and the full shingle sets.  Pairs whose estimate reaches ESTIMATE (over four deviations under 0.8) are confirmed
+   on the sets there and then, so that no unlinked pair becomes a row.  No group is capped.
 
-Links between texts at or over the threshold are thus lost only if no band meets.
+Components: a bounded number of links is joined by union-find in one task, more by alternating large and small stars.
+
+Links between texts at or over the threshold are thus lost only if no band meets or the estimate fails by over four deviations.
 
 Defined results: null, empty or blank texts have no shingles, link with nothing and are kept; a text with fewer than k
 words has one shingle, the whole sequence; a row with null id gets a null component and is kept; rows that repeat an id count
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U, mix, powers, shingles, slices, utf8, words
@@ -36,7 +39,9 @@ from .common import keep_ids, small, stage
 ROWS, BANDS = 6, 40
 PERMS = ROWS * BANDS // 2
 SLICE_BYTES, SLICE_WORDS = 4 << 20, 1 << 15
-STAR_ROUNDS, CROWD = 4, 50
+BLOCK, ESTIMATE = 64, 0.68
+#: Up to so many links (16 bytes each) may meet in one task.
+FEW_LINKS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, PERMS, dtype=np.uint64) * U(2) + U(1)
@@ -74,8 +79,8 @@ def sequence_hashes(w, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, hi long, lo long, bands array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SIGNED = "doc_id long, n_shingles long, hi long, lo long, bands array<long>, sig binary"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
 
 def sign(docs: DataFrame, k: int) -> DataFrame:
@@ -89,16 +94,17 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
                 w = words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 sh = shingles(w, n, k)
                 seq, have = sequence_hashes(w, n), np.diff(sh.first)
-                distinct, keys = np.zeros(n, np.int64), np.zeros((n, BANDS), np.int64)
+                distinct, keys, sigs = np.zeros(n, np.int64), np.zeros((n, BANDS), np.int64), np.zeros((n, 2 * PERMS), np.uint8)
                 full = np.flatnonzero(have)
                 for i in full:
                     distinct[i] = len(np.unique(sh.hash[sh.first[i] : sh.first[i + 1]]))
                 for p, q in slices(have[full], SLICE_WORDS):
                     own = full[p:q]
                     at, end = sh.first[own[0]], sh.first[own[-1] + 1]
-                    keys[own] = band_keys(min_max(sh.hash[at:end], sh.first[own] - at))
+                    sig = min_max(sh.hash[at:end], sh.first[own] - at)
+                    keys[own], sigs[own] = band_keys(sig), mix(sig).T.astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(have > 0, BANDS, 0))]), pa.int32()), pa.array(keys[full].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(distinct), pa.array(seq[0]), pa.array(seq[1]), lists], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), pa.array(distinct), pa.array(seq[0]), pa.array(seq[1]), lists, pa.array([x.tobytes() for x in sigs], pa.binary())], schema=_ARROW)
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -135,8 +141,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p] if p in parent else p
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "comp": pa.array([root(x) for x in ids], pa.int64())})
+
+
+def components(edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(id, comp) for every id that has an edge: the smallest id of its component.  edges: staged (a, b), a <> b."""
+    if edges.count() <= few:
+        return stage(edges.coalesce(1).mapInArrow(union_find, "id long, comp long"), "components")
     at = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     last = None
     while True:
@@ -145,8 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large.where("u <> v"), "components")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low, "u")
-        star = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         at = stage(star, "components")
         now = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
@@ -156,8 +179,69 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(named.union(at.select("v", "v").distinct()), "components")
 
 
-def pairs_of(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def compare_blocks(percent: int):
+    """Rows of two blocks (ids, comps, sigs, sets twice); the first confirmed link of each member with each other component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in range(len(batch)):
+                (ids, comps, sigs, sets), (ids2, comps2, sigs2, sets2) = [[batch.column(c)[row].as_py() for c in range(at, at + 4)] for at in (0, 4)]
+                x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1) for v in (sigs, sigs2))
+                other = np.array(comps2)
+                sizes = np.array([len(t) // 8 for t in sets2])
+                for i in range(len(x)):
+                    n = len(sets[i]) // 8
+                    fits = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+                    near = np.flatnonzero(fits & (other != comps[i]) & ((y == x[i]).mean(axis=1) >= ESTIMATE))
+                    linked: set[int] = set()
+                    if len(near):
+                        own = np.frombuffer(sets[i], U)
+                        whole = np.frombuffer(b"".join(sets2[j] for j in near), U)
+                        at = np.minimum(np.searchsorted(own, whole), n - 1)
+                        both = np.add.reduceat((own[at] == whole).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[near])[:-1]]))
+                        for j, m in zip(near.tolist(), both.tolist(), strict=True):
+                            if 100 * m >= percent * (n + int(sizes[j]) - m) and comps2[j] not in linked:
+                                linked.add(comps2[j])
+                                found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return run
+
+
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id, set: the sorted distinct shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = utf8(b.column(1))
+            for lo, hi in slices(np.diff(off), SLICE_BYTES):
+                sh = shingles(words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), hi - lo, k)
+                made = [np.unique(sh.hash[sh.first[i] : sh.first[i + 1]]).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_pydict({"id": b.column(0).slice(lo, hi - lo), "set": pa.array(made, pa.binary())})
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def open_links(led: DataFrame, comps: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components in open groups.  led: (key, id, leader); a leader has been compared with all of its group."""
+    comps = small(comps, 500_000)
+    rest = led.where("id <> leader").select("leader", "id").distinct().join(comps, "id", "left").withColumnRenamed("comp", "own")
+    rest = rest.join(comps.select(F.col("id").alias("leader"), "comp"), "leader", "left")
+    rest = stage(rest.select("leader", "id", F.coalesce("own", "id").alias("comp"), (F.coalesce("own", "id") != F.coalesce("comp", "leader")).alias("stray")), "minhash-rest")
+    open_ = rest.groupBy("leader").agg(F.count("*").alias("n"), F.count_if("stray").alias("s"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("s > 0 AND x <> y").select("leader", "n", "s")
+    rows = stage(rest.join(small(stage(open_, "minhash-open"), 500_000), "leader"), "minhash-open-rows")
+    ids = stage(rows.select("id").distinct(), "minhash-open-ids")
+    sigs = keep_ids(signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "sig"), "id", ids).groupBy("id").agg(F.min("sig").alias("sig"))
+    rows = stage(rows.join(sigs, "id").join(shingle_sets(keep_ids(texts, "id", ids), k), "id"), "minhash-blocks")
+
+    def blocks(rows: DataFrame, of: str, mark: str) -> DataFrame:
+        dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(id), CAST(ceil({of} / {BLOCK}) AS BIGINT))"))
+        packed = dealt.groupBy("leader", "block").agg(F.collect_list(F.struct("id", "comp", "sig", "set")).alias("m"))
+        return packed.select("leader", *[F.col(f"m.{c}").alias(c + mark) for c in ("id", "comp", "sig", "set")])
+
+    both = blocks(rows.where("stray"), "s", "").join(blocks(rows, "n", "2"), "leader").drop("leader")
+    return both.mapInArrow(compare_blocks(percent), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,55 +251,33 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     classes = stage(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "minhash-classes")
     reps = keep_ids(signed.where("n_shingles > 0"), "doc_id", stage(classes.select("rep").distinct(), "minhash-reps"))
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key")
-    members = stage(rows.join(small(stage(shared, "minhash-keys"), 1_000_000), "key"), "minhash-members")
-    texts = stage(keep_ids(narrow, "doc_id", stage(members.select("id").distinct(), "minhash-ids")).select(F.col("doc_id").alias("id"), "text"), "minhash-texts")
-
-    edges, comps, rest = None, None, members
-    for turn in range(STAR_ROUNDS + 1):
-        if comps is None:
-            now = rest.withColumn("comp", F.col("id"))
-            lead = now.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("leader"))
-        else:
-            now = stage(rest.join(comps, "id", "left").select("id", "key", F.coalesce("comp", "id").alias("comp")), "minhash-rest")
-            per = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
-            open_ = stage(per.groupBy("key").agg(F.max(F.struct("n", F.col("comp"))).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("of")).where("comps > 1").select("key", F.col("top.comp").alias("top"), "of"), "minhash-open")
-            if open_.isEmpty():
-                break
-            now = now.join(open_, "key")
-            lead = now.where("comp <> top").groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("leader"))
-        if turn < STAR_ROUNDS:
-            led = stage(now.select("id", "key", "comp").join(lead, "key"), "minhash-led")
-            leaders = led.where("id = leader").select("key", F.col("comp").alias("lcomp"))
-            asked = led.where("id <> leader").join(leaders, "key").where("comp <> lcomp").select(*pairs_of(F.col("id"), F.col("leader"))).distinct()
-            rest = led.where("id <> leader").select("id", "key")
-        else:
-            asked = all_pairs(stage(now, "minhash-last"), members)
-            rest = None
-        found = stage(confirm(asked, texts, k, percent), "minhash-links")
-        if not found.isEmpty():
-            edges = found if edges is None else stage(edges.union(found), "minhash-links")
-            comps = components(edges)
-        elif comps is None:
-            comps = stage(found.select(F.col("a").alias("id"), F.col("b").alias("comp")), "components")
-        if rest is None:
-            break
-
-    named = classes.join(small(comps.withColumnRenamed("id", "rep"), 1_000_000), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
+    lead = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
+    led = stage(rows.join(small(stage(lead, "minhash-leaders"), 500_000), "key").select("key", "id", "leader"), "minhash-led")
+    texts = stage(keep_ids(narrow, "doc_id", stage(led.select("id").distinct(), "minhash-ids")).select(F.col("doc_id").alias("id"), "text"), "minhash-texts")
+
+    asked = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    edges = stage(confirm(asked, texts, k, percent), "minhash-links")
+    comps = components(edges)
+    more = stage(open_links(led, comps, signed, texts, k, percent), "minhash-links")
+    if not more.isEmpty():
+        comps = components(stage(edges.union(more), "minhash-links"))
+
+    named = classes.join(small(comps.withColumnRenamed("id", "rep"), 500_000), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
     named = small(stage(named, "minhash-named"), 500_000).alias("c")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").alias("s").join(named, F.expr("s.n_shingles > 0 AND s.hi = c.hi AND s.lo = c.lo"), "left")
     comp = F.when(F.col("s.doc_id").isNotNull(), F.coalesce("c.comp", "s.doc_id"))
     return out.select("s.doc_id", "s.n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("s.doc_id"), F.lit(True)).alias("kept"))
 
 
-def all_pairs(now: DataFrame, members: DataFrame) -> DataFrame:
-    """Candidates left in open buckets: members of different components; crowded buckets are split by every second band key they share."""
-    few = now.where(F.col("of") <= CROWD).select("id", "comp", F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"))
-    many = now.where(F.col("of") > CROWD).select("id", "comp", F.col("key").alias("k1"))
-    many = many.join(members.select("id", F.col("key").alias("k2")), "id").where("k1 < k2")
-    rows = stage(few.union(many), "minhash-pairs")
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, F.expr("x.k1 = y.k1 AND x.k2 = y.k2 AND x.id < y.id AND x.comp <> y.comp")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component stays, with all its columns; of rows that repeat a kept id and its text, one."""
+    gone = stage(link(docs, k, percent, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct(), "minhash-gone")
+    left = keep_ids(docs, id_col, gone, "left_anti")
+    again = stage(left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "minhash-again")
+    if again.isEmpty():
+        return left
+    once = keep_ids(left, id_col, again, "left_anti")
+    return once.unionByName(keep_ids(left, id_col, again).dropDuplicates([id_col, text_col]))
 
 
 def query(docs: DataFrame) -> DataFrame:
