@@ -2,7 +2,7 @@
 
 Texts are words (letters and digits, A-Z and Latin-1 capitals in lower case); shingles are five words, or the whole of
 a shorter item.  For an item of n words every n-word window of a document is looked at: a window that holds too few
-shingles of the block's items to reach the threshold with any of them is left out (no such window can be a match), the others are
+shingles of the items of its length to reach the threshold with any of them is left out (no such window can be a match), the others are
 fingerprinted.  Eight blocks of eight bits index the items' fingerprints: at a distance of at most RADIUS = 23 bits some
 block differs in at most two, and each block's table lists every item that near, so all fingerprints within the radius are found.
 Those candidates are compared with the item by weighted shingle similarity (sum of least over sum of greatest multiplicity),
@@ -116,6 +116,14 @@ def index(items: list[tuple[int, str | None]]) -> list[Group]:
     return out
 
 
+def members(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
+    """Places in h that hold a hash of vocab (sorted): a bitmap lets few others through to the search."""
+    bits = np.zeros(1 << 20, dtype=bool)
+    bits[(vocab >> U(44)).astype(np.int64)] = True
+    at = np.flatnonzero(bits[(h >> U(44)).astype(np.int64)])
+    return at[vocab[np.minimum(np.searchsorted(vocab, h[at]), len(vocab) - 1)] == h[at]]
+
+
 def search(data: np.ndarray, off: np.ndarray, groups: list[Group], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, similarity, first word, words) of every best match in the texts."""
     data = fold(data)
@@ -124,23 +132,26 @@ def search(data: np.ndarray, off: np.ndarray, groups: list[Group], threshold: fl
         return
     n_texts = len(off) - 1
     first = np.concatenate([[0], np.cumsum(np.bincount(w.text, minlength=n_texts))])
+    short = np.diff(first)
     hashes = {k: runs(w, k) for k in {g.k for g in groups}}
-    vocab = {k: np.unique(np.concatenate([g.vocab for g in groups if g.k == k])) for k in hashes}
-    known = {}
-    for k, h in hashes.items():
-        v = vocab[k]
-        known[k] = np.concatenate([[0], np.cumsum(v[np.minimum(np.searchsorted(v, h), len(v) - 1)] == h)])
+    known = {k: members(h, np.unique(np.concatenate([g.vocab for g in groups if g.k == k]))) for k, h in hashes.items()}
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for g in groups:
-        seen, h = known[g.k], hashes[g.k]
+        h, m = hashes[g.k], known[g.k]
+        m = m[g.vocab[np.minimum(np.searchsorted(g.vocab, h[m]), len(g.vocab) - 1)] == h[m]]
         size = g.length - g.k + 1  # shingles of a window
         need = int(np.ceil(threshold * size - 1e-9))
-        at = np.arange(max(0, len(h) - g.length + 1))
-        at = at[(seen[at + size] - seen[at] >= need) & (w.text[at] == w.text[at + g.length - 1])]
+        if len(m) < need:
+            continue
+        # Windows with at least `need` known shingles: some `need` of them in a row lie within a window's length.
+        i = np.flatnonzero(m[need - 1 :] - m[: len(m) - need + 1] < size)
+        at = np.unique(np.concatenate([np.arange(max(0, b - size + 1), a + 1) for a, b in zip(m[i].tolist(), m[i + need - 1].tolist(), strict=True)])) if len(i) else i
+        at = at[at + g.length <= len(h)]
+        at = at[w.text[at] == w.text[at + g.length - 1]]
         spans = [(int(p), g.length) for p in at]
-        short = np.diff(first)
         lone = np.flatnonzero((short < g.length) & (short >= max(g.k, need)))
-        spans += [(int(first[t]), int(short[t])) for t in lone if seen[first[t + 1] - g.k + 1] - seen[first[t]] >= need]
+        held = np.searchsorted(m, first[lone + 1] - g.k + 1) - np.searchsorted(m, first[lone])
+        spans += [(int(first[t]), int(short[t])) for t in lone[held >= need]]
         for p, length in spans:
             for i in g.candidates(fingerprint(h[None, p : p + length - g.k + 1])[0]):
                 key = (int(w.text[p]), g.ids[i])
