@@ -101,6 +101,15 @@ def test_url_rules_are_mined(spark):
     assert mined.blocks("http://spam-new.example.org/x") and not mined.blocks("http://other.example.org/news/5") and not mined.blocks(None)
 
 
+def test_url_rules_from_all_labels(spark):
+    """A hot URL whose hash comes first does not push the others out."""
+    hot = spark.range(100_000).select(F.concat(F.lit("http://hot.example.org/"), "id").alias("u")).agg(F.min_by("u", F.xxhash64("u")).alias("u")).first().u
+    rows = [(f"http://spam-site{i}.example.org/x", True) for i in range(400)]
+    labelled = spark.range(51_000).select(F.lit(hot).alias("url"), F.lit(False).alias("blocked")).union(spark.createDataFrame(rows, "url string, blocked boolean"))
+    mined = url_filter.mine(labelled)
+    assert mined.blocks("http://spam-new.example.org/y") and not mined.blocks(hot)
+
+
 def test_mixing(spark):
     out = mixing.query(docs(spark)).collect()
     assert len(out) == 11 and all(r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in out)
