@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names for every operator."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +113,32 @@ def test_url_rules_from_all_labels(spark):
     assert mined.blocks("http://spam-new.example.org/y") and not mined.blocks(hot)
 
 
+def test_url_rules_from_whole_paths(spark):
+    long = "x" * 250
+    parts = [("a/b/c/{}/d", "casino", "news"), ("{}24", "win", "day"), ("{}", long, "y" * 250), ("{}9/b/c/d/e/f/g7", "p", "q")]
+    for k, (path, bad, good) in enumerate(parts):
+        rows = [(f"http://site{i}.example.org/{path.format(bad if i % 3 == 0 else good)}", i % 3 == 0) for i in range(90)]
+        mined = url_filter.mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+        assert mined.blocks(f"http://other.example.org/{path.format(bad)}") and not mined.blocks(f"http://other.example.org/{path.format(good)}"), k
+
+
+def test_url_rules_are_all_least_sets(spark):
+    """Against brute force, with a rule of five tokens."""
+    rng = random.Random(5)
+    rows = [(f"http://h.org/?{'&'.join(k for k in 'abcdefg' if rng.random() < 0.8)}", i) for i in range(600)]
+    rows = [(u, set("abcde") <= set(u) or (i % 7 == 0 and "f" not in u)) for u, i in rows]
+    got = {frozenset(r) for r in url_filter.mine(spark.createDataFrame(rows, "url string, blocked boolean")).rules}
+    sets = [(frozenset(url_filter.tokens(u)), b) for u, b in rows]
+    want: list[frozenset[str]] = []
+    every = sorted(frozenset().union(*(s for s, _ in sets)))
+    for size in range(1, len(every) + 1):
+        for c in map(frozenset, itertools.combinations(every, size)):
+            hit = [b for s, b in sets if c <= s]
+            if sum(hit) >= 20 and sum(hit) >= 0.95 * len(hit) and not any(w <= c for w in want):
+                want.append(c)
+    assert got == set(want) and max(map(len, got)) == 5
+
+
 def test_mixing(spark):
     out = mixing.query(docs(spark)).collect()
     assert len(out) == 11 and all(r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0) for r in out)
