@@ -22,9 +22,16 @@ def merge_weights(override: dict[str, float] | None = None) -> dict[str, float]:
 
 
 def assign_anchors(records: DataFrame, anchors: DataFrame) -> DataFrame:
-    """rec_id, anchor_id, sim: the anchor with the greatest cosine; of equals the smallest id.  Anchors are a stated, bounded set."""
-    pairs = records.crossJoin(F.broadcast(anchors.limit(10_000)))
-    return vectors.nearest(pairs.withColumn("sim", V.cosine(F.col("embed"), F.col("centre"))), ["rec_id"], "anchor_id")
+    """rec_id, anchor_id, sim: of all anchors the one with the greatest cosine; of equals the smallest id.
+
+    Anchors go to the records in blocks.  A record without a direction (null or zero) has the smallest id and no sim; an anchor
+    without one is only taken if no other is there."""
+    directed = lambda d, v: d.where(V.norm(F.col(v)) > 0)
+    pairs = vectors.against(directed(anchors, "centre").select(F.col("anchor_id").alias("q_id"), F.col("centre").alias("q_embed")), directed(records, "embed").select(F.col("rec_id").alias("proto_id"), F.col("embed").alias("centre")))
+    best = vectors.nearest(pairs.select(F.col("proto_id").alias("rec_id"), F.col("q_id").alias("anchor_id"), "sim"), ["rec_id"], "anchor_id")
+    first = anchors.agg(F.min("anchor_id").alias("first")).where("first IS NOT NULL")  # one row
+    every = records.select("rec_id").distinct().crossJoin(F.broadcast(first)).join(best, "rec_id", "left")
+    return every.select("rec_id", F.coalesce("anchor_id", "first").alias("anchor_id"), "sim")
 
 
 def groups(assigned: DataFrame, anchors: DataFrame) -> DataFrame:

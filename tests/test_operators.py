@@ -67,6 +67,14 @@ def test_mrr(spark):
     assert senses.reciprocal_rank(ranked, gold).first().rr == 0.5
 
 
+def test_every_anchor_is_compared(spark):
+    anchors = spark.range(10_300).selectExpr("id AS anchor_id", "array(cos(id * 1e-4D), sin(id * 1e-4D)) AS centre").union(spark.createDataFrame([(20_000, [0.0, 0.0])], "anchor_id long, centre array<double>"))
+    at = [[math.cos(i * 1e-4), math.sin(i * 1e-4)] for i in (0, 5000, 10_200)]
+    records = spark.createDataFrame([*enumerate([*at, [0.0, 0.0], None, [-1.0, -1.0]])], "rec_id long, embed array<double>")
+    got = {r.rec_id: (r.anchor_id, r.sim is None) for r in senses.assign_anchors(records, anchors).collect()}
+    assert got == {0: (0, False), 1: (5000, False), 2: (10_200, False), 3: (0, True), 4: (0, True), 5: (0, False)}
+
+
 def test_hdbscan_finds_two_groups():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, (30, 3)), rng.normal(3, 0.1, (30, 3)), [[20, 20, 20]]])
