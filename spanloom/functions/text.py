@@ -30,8 +30,10 @@ def clean_basic(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Lower case without quotes, except that acronyms and runs of capitalised words stay as they are.
 
-    The text is cut into protected spans and the rest, so a protected word never changes its like inside another word."""
-    pieces = F.regexp_extract_all(squeeze(c), F.lit(rf"{ACRONYM}|{TITLE_RUN}|\w+|\W+"), F.lit(0))
+    The text is cut into protected spans and the rest, so a protected word never changes its like inside another word; words are
+    of letters of any script, as for \\b."""
+    word = r"\p{L}\p{M}\p{N}_"
+    pieces = F.regexp_extract_all(squeeze(c), F.lit(rf"{ACRONYM}|{TITLE_RUN}|[{word}]+|[^{word}]+"), F.lit(0))
     plain = lambda x: F.lower(F.regexp_replace(x, "[\"']", ""))
     kept = F.transform(pieces, lambda x: F.when(x.rlike(f"^(?:{ACRONYM}|{TITLE_RUN})$"), x).otherwise(plain(x)))
     return F.trim(F.array_join(kept, ""))

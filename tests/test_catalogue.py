@@ -1,6 +1,7 @@
 """Every query with an oracle against DuckDB at the smallest scale."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -39,3 +40,43 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+SPACES = r"[ \t\n\x0b\f\r]+"
+ACRONYM, TITLE_RUN = r"\b[A-Z]{2,}\b", r"\b[A-Z][a-z]+(?:[ \t\n\x0b\f\r]+[A-Z][a-z]+)+\b"
+
+
+def squeezed(text):
+    return re.sub(SPACES, " ", text.replace("-\n", "")).strip(" ")
+
+
+def cleaned(text):
+    pieces = re.findall(rf"{ACRONYM}|{TITLE_RUN}|\w+|\W+", squeezed(text))
+    return "".join(p if re.fullmatch(f"{ACRONYM}|{TITLE_RUN}", p) else re.sub("[\"']", "", p).lower() for p in pieces).strip(" ")
+
+
+@pytest.fixture(scope="module")
+def with_odd_texts(spark, tmp_path_factory):
+    """The documents, and a null, an empty and some short texts with letters beside ASCII."""
+    d = tmp_path_factory.mktemp("odd")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    odd = [None, "", "École NASA et ÉTATS Grande Été Le Monde Bleu", "caféNASA NASAé \"L'Été\" New York", "Straße Von Der Höhe"]
+    docs.union(spark.createDataFrame([(10**6 + i, x) for i, x in enumerate(odd)], "doc_id long, text string")).write.parquet(f"{d}/documents.parquet")
+    return str(d)
+
+
+WHOLE = {
+    "clean_protected_all": lambda x: cleaned(x),
+    "acronym_spans_all": lambda x: "|".join(re.findall(ACRONYM, squeezed(x))),
+    "title_spans_all": lambda x: "|".join(re.findall(TITLE_RUN, squeezed(x))),
+    "clean_basic_all": lambda x: re.sub("[\"']", "", squeezed(x)).lower(),
+    "word_counts_all": lambda x: len([w for w in re.split(SPACES, x or "") if w]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_documents(spark, with_odd_texts, name):
+    texts = dict(spark.read.parquet(f"{with_odd_texts}/documents.parquet").collect())
+    got = {r[0]: r[1] for r in catalogue.QUERIES[name](spark, with_odd_texts).collect()}
+    assert len(got) == 205
+    assert got == {i: None if x is None and name != "word_counts_all" else WHOLE[name](x) for i, x in texts.items()}
