@@ -20,7 +20,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The driver's tables, and the stand-ins made of them."""
+    """The driver's tables, and the stand-ins made of them.  What the oracles' SQL is stated for: nodes, anchors, items, texts."""
+
+    NODES, ANCHORS, ITEMS, MARKED = "proto_id < 8", "proto_id < 4", "item_id < 5", "length(text) > 40"
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -63,6 +65,8 @@ class Tables:
 class Whole(Tables):
     """The same stand-ins without a cut: queries named *_all run on every row, also where engines' regular expressions differ."""
 
+    NODES = ANCHORS = ITEMS = MARKED = "true"
+
     @property
     def ascii_docs(self) -> DataFrame:
         return self.documents
@@ -370,7 +374,7 @@ _GRAPH = f"""{_PROTO}, nodes AS (SELECT proto_id AS node, proto_id, 't' || CAST(
 
 
 def graph_nodes(t: Tables) -> DataFrame:
-    return t.protos.where("proto_id < 8").select(F.col("proto_id").alias("node"), "proto_id", F.expr("concat('t', proto_id % 7)").alias("term"), F.expr("CAST(proto_id % 4 AS INT)").alias("level"))
+    return t.protos.where(t.NODES).select(F.col("proto_id").alias("node"), "proto_id", F.expr("concat('t', proto_id % 7)").alias("term"), F.expr("CAST(proto_id % 4 AS INT)").alias("level"))
 
 
 @query(f"WITH {_GRAPH} SELECT node, round(weight, 6) AS weight FROM nw")
@@ -568,9 +572,14 @@ def store_upgrade(t: Tables) -> DataFrame:
 @query(r"""SELECT doc_id, substr(text, 1, 5) || '[TGT] ' || substr(text, 6, 7) || ' [TGT]' || substr(text, 13) AS marked, CAST(11 AS BIGINT) AS s, CAST(18 AS BIGINT) AS e,
     CASE WHEN z = '' THEN trim(text) ELSE z END AS sentence FROM (SELECT *, trim(regexp_extract(substr(text, 1, 5), '([^.?!]*)$', 1) || substr(text, 6, 7) || regexp_extract(substr(text, 13), '^([^.?!]*[.?!]?)', 1)) AS z FROM documents WHERE length(text) > 40)""")
 def target_mark(t: Tables) -> DataFrame:
-    d = t.documents.where("length(text) > 40")
-    m = d.select("doc_id", T.mark_target(F.col("text"), F.lit(5), F.lit(12)).alias("m"), T.sentence_of_span(F.col("text"), F.lit(5), F.lit(12)).alias("sentence"))
-    return m.select("doc_id", F.col("m.text").alias("marked"), F.col("m.start").cast("long").alias("s"), F.col("m.end").cast("long").alias("e"), "sentence")
+    """A text that ends before the span's end stays unmarked: no place, the whole text as sentence; a null text gives nulls."""
+    d = t.documents.where(t.MARKED)
+    m = d.select("doc_id", "text", T.mark_target(F.col("text"), F.lit(5), F.lit(12)).alias("m"), T.sentence_of_span(F.col("text"), F.lit(5), F.lit(12)).alias("sentence"))
+    held = lambda c, other: F.when(F.length("text") >= 12, c).otherwise(other)
+    return m.select("doc_id", held(F.col("m.text"), F.col("text")).alias("marked"), held(F.col("m.start").cast("long"), None).alias("s"), held(F.col("m.end").cast("long"), None).alias("e"), held(F.col("sentence"), F.trim("text")).alias("sentence"))
+
+
+whole(target_mark)
 
 
 _OVER = r"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9_\-]*'), lambda w: length(w) > 2))"
@@ -673,7 +682,7 @@ def best_sense_groups(t: Tables) -> DataFrame:
 
 @query(f"""WITH {_CENTRE} SELECT occ_id AS rec_id, arg_min(cen.term_id, -round(list_cosine_similarity(v, centre), 9)) AS anchor_id FROM occ, cen WHERE cen.term_id < 4 GROUP BY 1""")
 def anchor_assignment(t: Tables) -> DataFrame:
-    anchors = t.protos.where("proto_id < 4").select(F.col("proto_id").alias("anchor_id"), "centre")
+    anchors = t.protos.where(t.ANCHORS).select(F.col("proto_id").alias("anchor_id"), "centre")
     return senses.assign_anchors(t.occurrences.select(F.col("occ_id").alias("rec_id"), "embed"), anchors).select("rec_id", "anchor_id")
 
 
@@ -721,6 +730,6 @@ def token_salience(t: Tables) -> DataFrame:
 
 @query()
 def extracted_spans(t: Tables) -> DataFrame:
-    """Index-side spans of the benchmark's texts by the default annotator."""
-    d = spans.index_spans(spans.annotate(t.benchmark.select("item_id", T.clean_text(F.col("text")).alias("text"))))
-    return d.select("item_id", F.explode("spans").alias("x")).select("item_id", "x.kind", "x.term", "x.s", "x.e")
+    """Index-side spans of all documents by the default annotator."""
+    d = spans.index_spans(spans.annotate(t.documents.select("doc_id", T.clean_text(F.col("text")).alias("text"))))
+    return d.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.kind", "x.term", "x.s", "x.e")

@@ -80,3 +80,42 @@ def test_whole_documents(spark, with_odd_texts, name):
     got = {r[0]: r[1] for r in catalogue.QUERIES[name](spark, with_odd_texts).collect()}
     assert len(got) == 205
     assert got == {i: None if x is None and name != "word_counts_all" else WHOLE[name](x) for i, x in texts.items()}
+
+
+def test_short_texts_are_unmarked(spark, with_odd_texts):
+    texts = spark.read.parquet(f"{with_odd_texts}/documents.parquet")
+    rows = {r.doc_id: r for r in catalogue.QUERIES["target_mark_all"](spark, with_odd_texts).collect()}
+    assert len(rows) == texts.count()
+    assert tuple(rows[10**6])[1:] == (None,) * 4 and tuple(rows[10**6 + 1])[1:] == ("", None, None, "")
+    for r in texts.where("length(text) >= 12").collect():
+        assert tuple(rows[r.doc_id])[1:4] == (f"{r.text[:5]}[TGT] {r.text[5:12]} [TGT]{r.text[12:]}", 11, 18)
+    assert (rows[10**6 + 4].marked, rows[10**6 + 4].s) == ("Straß[TGT] e Von D [TGT]er Höhe", 11)
+
+
+def index_spans(text):
+    """(kind, term, s, e) as the index side defines them, by plain loops."""
+    word = rf"(?!(?i:(?:{'|'.join(catalogue.spans.STOP)})\b)){catalogue.spans.TOKEN}"
+    found = lambda p: [(m.start(), m.end(), m.group()) for m in re.finditer(p, text)]
+    inside = lambda x, ys: any(y[0] <= x[0] and x[1] <= y[1] for y in ys)
+    stop = set(catalogue.spans.STOP)
+    every = found(f"{TITLE_RUN}|{ACRONYM}")
+    phrase = lambda p: re.search(catalogue.spans.PHRASE, p) and ".." not in p and any(w.lower() not in stop for w in p.split())
+    accepted = [x for x in every if not all(re.fullmatch("[0-9]+", w) for w in x[2].split())]
+    accepted += [x for x in found(rf"\b{word}(?: {word})+") if phrase(x[2]) and not inside(x, every)]
+    best = [x for i, x in enumerate(accepted) if not any(inside(x, [y]) and (y[1] - y[0] > x[1] - x[0] or j < i) for j, y in enumerate(accepted) if j != i)]
+    valid = lambda w: w.lower() not in stop and not re.fullmatch(r"[0-9]+(\.[0-9]+)?", w) and len(w) >= 2 and not (len(w) == 2 and w == w.lower() and re.search("[a-z]", w))
+
+    def term(p):
+        ws = p.split()
+        ws = ws[1:] if ws[0].lower() in ("the", "a", "an") else ws
+        return " ".join(w if re.search("[A-Z]{2,}", w) else w.lower() for w in ws)
+
+    return [("phrase", term(x[2]), x[0], x[1]) for x in best] + [("token", term(x[2]), x[0], x[1]) for x in found(catalogue.spans.TOKEN) if valid(x[2]) and not inside(x, accepted)]
+
+
+def test_extracted_spans(spark, with_odd_texts):
+    texts = spark.read.parquet(f"{with_odd_texts}/documents.parquet").where("length(text) < 2000").collect()
+    short = {r.doc_id for r in texts}
+    got = sorted(tuple(r) for r in catalogue.QUERIES["extracted_spans"](spark, with_odd_texts).collect() if r.doc_id in short)
+    assert len(texts) > 100
+    assert got == sorted((r.doc_id, *x) for r in texts for x in index_spans(cleaned(r.text)))
