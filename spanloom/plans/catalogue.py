@@ -20,9 +20,9 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The driver's tables, and the stand-ins made of them.  What the oracles' SQL is stated for: nodes, anchors, items, texts."""
+    """The driver's tables, and the stand-ins made of them.  What the oracles' SQL is stated for: nodes, anchors, texts."""
 
-    NODES, ANCHORS, ITEMS, MARKED = "proto_id < 8", "proto_id < 4", "item_id < 5", "length(text) > 40"
+    NODES, ANCHORS, MARKED = "proto_id < 8", "proto_id < 4", "length(text) > 40"
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -65,7 +65,7 @@ class Tables:
 class Whole(Tables):
     """The same stand-ins without a cut: queries named *_all run on every row, also where engines' regular expressions differ."""
 
-    NODES = ANCHORS = ITEMS = MARKED = "true"
+    NODES = ANCHORS = MARKED = "true"
 
     @property
     def ascii_docs(self) -> DataFrame:
@@ -424,6 +424,10 @@ def multi_level_query(t: Tables) -> DataFrame:
     return retrieval.multi_level(graph_nodes(t), t.proto_scores).select(F.col("ord").cast("long").alias("ord"), "chunk_id", "part")
 
 
+for _f in (node_weights, chunk_weights, level_ranking, multi_level_query):
+    whole(_f, " WHERE proto_id < 8")
+
+
 @query(f"""WITH {_OCC}, terms AS (SELECT term_id, 'term ' || CAST(term_id AS VARCHAR) AS term FROM occ GROUP BY 1)
     SELECT CAST(term_id AS BIGINT) AS span, 'term ' || CAST(term_id AS VARCHAR) AS text, 'exact' AS how, CAST(term_id AS BIGINT) AS proto_id FROM terms WHERE term_id < 3 UNION ALL SELECT 100, 'term', 'fuzzy', -1 FROM range(2)""")
 def resolve_matches(t: Tables) -> DataFrame:
@@ -433,7 +437,7 @@ def resolve_matches(t: Tables) -> DataFrame:
     known = protos.where("term_id < 3").select(F.col("term_id").alias("span"), F.lit("phrase").alias("kind"), F.expr("concat('term ', term_id)").alias("text"), F.col("centre").alias("embed"))
     word = protos.where("term_id = 4").select(F.lit(100).cast("long").alias("span"), F.lit("phrase").alias("kind"), F.lit("term").alias("text"), F.col("centre").alias("embed"))
     m = retrieval.resolve(known.unionByName(word), terms, protos, retrieval.phrase_words(terms))
-    return m.where("how <> 'fuzzy' OR span = 100").where("span = 100 OR how = 'exact'").select("span", "text", "how", F.when(F.col("how") == "exact", F.col("proto_id")).otherwise(-1).cast("long").alias("proto_id"))
+    return m.select("span", "text", "how", F.when(F.col("how") == "exact", F.col("proto_id")).otherwise(-1).cast("long").alias("proto_id"))
 
 
 @query(f"""WITH {_OCC}, o AS (SELECT * FROM occ WHERE chunk_id % 10 <> 3), ch AS (SELECT chunk_id, count(*) AS num_tokens FROM o GROUP BY 1), st AS (SELECT count(*) AS n, avg(num_tokens) AS avg_len FROM ch), tf AS (SELECT term_id AS proto_id, chunk_id, count(*) AS tf FROM o GROUP BY 1, 2),
@@ -451,8 +455,13 @@ def delete_and_rebuild(t: Tables) -> DataFrame:
 _MULTI = f"{_OCC}, s AS (SELECT term_id, occ_id % 3 AS sense, count(*) AS n FROM occ WHERE term_id % 3 <> 1 OR occ_id % 3 = 0 GROUP BY 1, 2), g AS (SELECT term_id, count(*) AS senses FROM s GROUP BY 1 HAVING count(*) >= 2), j AS (SELECT s.term_id, senses, s.term_id * 3 + sense AS proto_id, n AS occurrences FROM s JOIN g ON s.term_id = g.term_id)"
 
 
+def sense_rows(t: Tables) -> DataFrame:
+    """All occurrences; every third term has one sense, the others three."""
+    return t.occurrences.withColumn("proto_id", F.expr("term_id * 3 + CASE WHEN term_id % 3 = 1 THEN 0 ELSE occ_id % 3 END"))
+
+
 def made_senses(t: Tables) -> DataFrame:
-    o = t.occurrences.where("term_id % 3 <> 1 OR occ_id % 3 = 0").withColumn("proto_id", F.expr("term_id * 3 + occ_id % 3"))
+    o = sense_rows(t)
     return maintenance.multi_sense_terms(o.select("proto_id", "term_id").distinct(), o.select("proto_id"))
 
 
@@ -686,6 +695,9 @@ def anchor_assignment(t: Tables) -> DataFrame:
     return senses.assign_anchors(t.occurrences.select(F.col("occ_id").alias("rec_id"), "embed"), anchors).select("rec_id", "anchor_id")
 
 
+whole(anchor_assignment, " WHERE cen.term_id < 4")
+
+
 @query("""WITH r AS (SELECT source AS q_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, 'Title  ' || CAST(doc_id AS VARCHAR) AS title, doc_id FROM documents), g AS (SELECT source AS q_id, 'title ' || CAST(d.doc_id AS VARCHAR) AS t FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0),
     h AS (SELECT r.q_id, min(rank) AS k FROM r JOIN g ON r.q_id = g.q_id AND lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) = t WHERE rank <= 10 GROUP BY 1)
     SELECT q.q_id, round(coalesce(1.0 / k, 0.0), 6)::DOUBLE AS rr FROM (SELECT DISTINCT q_id FROM r) q LEFT JOIN h ON q.q_id = h.q_id""".replace("\\\\", "\\"))

@@ -119,3 +119,11 @@ def test_extracted_spans(spark, with_odd_texts):
     got = sorted(tuple(r) for r in catalogue.QUERIES["extracted_spans"](spark, with_odd_texts).collect() if r.doc_id in short)
     assert len(texts) > 100
     assert got == sorted((r.doc_id, *x) for r in texts for x in index_spans(cleaned(r.text)))
+
+
+def test_graph_and_senses_take_all_rows(spark):
+    t = catalogue.Whole(spark, SF)
+    protos = t.protos.count()
+    assert catalogue.graph_nodes(t).count() == protos == catalogue.QUERIES["node_weights_all"](spark, SF).count()
+    assert catalogue.sense_rows(t).count() == t.occurrences.count()
+    assert catalogue.QUERIES["anchor_assignment_all"](spark, SF).select("anchor_id").distinct().count() > 4
