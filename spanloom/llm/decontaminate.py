@@ -13,7 +13,8 @@ Items are taken in blocks of BLOCK_ITEMS: each block is a bounded list, sent wit
 
 Defined results: null or blank texts and items match nothing; a document shorter than an item is one window; of equal
 windows the first is reported; rows that repeat an id are each searched, and the best match for an item is kept; items with
-equal texts are each reported; empty tables give empty results; other columns are ignored.
+equal texts are each reported; items without an id are searched too, and the best match of them all is reported with a null item_id;
+empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ class Group:
 
     length: int
     k: int
-    ids: list[int]
+    ids: list[int | None]
     grams: list[Counter]
     vocab: np.ndarray
     prints: np.ndarray  # [item, 8]
@@ -99,8 +100,8 @@ def lowered(data: np.ndarray, w: Words, i: int, j: int) -> list[bytes]:
     return [data[w.start[p] : w.end[p]].tobytes().lower() for p in range(i, j)]
 
 
-def index(items: list[tuple[int, str | None]]) -> list[Group]:
-    by: dict[int, list[tuple[int, list[bytes], np.ndarray]]] = {}
+def index(items: list[tuple[int | None, str | None]]) -> list[Group]:
+    by: dict[int, list[tuple[int | None, list[bytes], np.ndarray]]] = {}
     for item_id, text in items:
         data, off = utf8(pa.array([text], pa.string()))
         data = fold(data)
@@ -124,7 +125,7 @@ def members(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     return at[vocab[np.minimum(np.searchsorted(vocab, h[at]), len(vocab) - 1)] == h[at]]
 
 
-def search(data: np.ndarray, off: np.ndarray, groups: list[Group], threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+def search(data: np.ndarray, off: np.ndarray, groups: list[Group], threshold: float) -> Iterator[tuple[int, int | None, float, int, int]]:
     """(text, item, similarity, first word, words) of every best match in the texts."""
     data = fold(data)
     w = words(data, off, NOT_ALNUM, spans=True)
@@ -135,7 +136,7 @@ def search(data: np.ndarray, off: np.ndarray, groups: list[Group], threshold: fl
     short = np.diff(first)
     hashes = {k: runs(w, k) for k in {g.k for g in groups}}
     known = {k: members(h, np.unique(np.concatenate([g.vocab for g in groups if g.k == k]))) for k, h in hashes.items()}
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    best: dict[tuple[int, int | None], tuple[float, int, int]] = {}
     for g in groups:
         h, m = hashes[g.k], known[g.k]
         m = m[g.vocab[np.minimum(np.searchsorted(g.vocab, h[m]), len(g.vocab) - 1)] == h[m]]
@@ -165,12 +166,12 @@ def search(data: np.ndarray, off: np.ndarray, groups: list[Group], threshold: fl
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = BLOCK_ITEMS) -> Iterator[list[Group]]:
     """The benchmark's items, `size` at a time: only one block is ever held by the driver."""
-    b = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
+    b = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     n = b.count()
     parts = -(-n // size)
     for p in range(parts):
         rows = (b if parts == 1 else b.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)).collect()
-        if groups := index(sorted((r.i, r.t) for r in rows)):
+        if groups := index(sorted(((r.i, r.t) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))):
             yield groups
 
 

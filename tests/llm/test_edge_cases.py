@@ -72,6 +72,13 @@ def test_decontamination(spark):
     assert decontaminate.drop_leaks(docs(spark), items).columns == docs(spark).columns
 
 
+def test_decontamination_by_items_without_id(spark):
+    items = spark.createDataFrame([(None, PROSE), (None, "short text"), (5, "one")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.query(docs(spark), items).collect()}
+    assert got == {(1, None), (2, None), (9, None), (None, None), (6, 5)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs(spark), items).collect()} == {3, 4, 5, 7, 8}
+
+
 def test_near_dedup(spark):
     out = minhash.query(docs(spark)).collect()
     by = {r.doc_id: r for r in out}
