@@ -2,9 +2,12 @@
 
 Texts are grouped by bytes and cut into pieces at safe boundaries; the distinct pieces go to the tokenizer in batches of
 about BATCH_BYTES, so that neither one long text nor many at once decide what a call holds.  A boundary is safe where the byte-level
-pre-tokenizer ends a token whatever follows: before a space or newline that follows neither white space nor nothing,
-and between ASCII letters and digits.  Merges never cross such a place and no special string holds one, so
-lengths add up.  A run without any safe boundary is encoded whole.
+pre-tokenizer ends a token whatever follows: before a run of white space, and in long pieces between ASCII letters and digits.
+Merges never cross such a place and no special string holds one, so lengths add up.  A run without any safe boundary is encoded whole.
+
+Counts of pieces of at most SHORT bytes are kept, up to KEEP_BYTES of them: words come back.  Longer pieces are counted and forgotten.
+
+Vocabularies that are not byte-level, or whose special strings hold spaces or are mere letters, see whole texts in batches of the same bytes.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows count alike; an empty table gives an
 empty result; other columns stay as they are, unless they have the names of the three that are added.
@@ -13,7 +16,8 @@ empty result; other columns stay as they are, unless they have the names of the
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,12 +43,12 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-#: White space or the start of the text before a space: there the cut at every space would not be safe.
-CROWDED = re.compile(r"(?:\A|[\s\x1c-\x1f]) ")
-
 #: Where white space meets white space or stands at the start, or is neither space nor newline, a cut at each would not be safe.
 CROWDED = re.compile(r"\A\s|\s\s|[^\S \n]|[\x1c-\x1f]")
+#: A run of white space (without U+001C to U+001F, which are none to the tokenizer) and what follows up to the next run.
+RUNS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+\Z")
 MARKS = ".,;:!?"
+SHORT, KEEP_BYTES, ENTRY_BYTES = 64, 48 << 20, 120
 
 _loaded: dict[str, "Lengths"] = {}
 
@@ -57,16 +61,15 @@ def byte_letters() -> list[str]:
 
 
 class Lengths:
-    """Token counts of texts by one vocabulary.  The counts of up to KEEP pieces are kept: words come back.
+    """Token counts of texts by one vocabulary.
 
     A piece that is one run of letters, with or without a space before it, is one pre-token: the vocabulary's own merge
     model counts it.  All other pieces are encoded in batches balanced by bytes."""
 
-    KEEP = 400_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep_bytes: int = KEEP_BYTES):
         set_python_limits()
-        self.known: dict[str, int] = {"": 0}
+        self.keep_bytes = keep_bytes
+        self.forget()
         self.model = None
         if path.endswith(".json"):
             from tokenizers import Tokenizer
@@ -75,7 +78,7 @@ class Lengths:
             t.no_truncation()
             t.no_padding()
             self.encode = lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
-            if type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None and not t.pre_tokenizer.add_prefix_space:
+            if byte_level(t):
                 self.model, self.letters = t.model, dict(enumerate(byte_letters()))
         else:
             import sentencepiece
@@ -83,57 +86,84 @@ class Lengths:
             p = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: [len(e) for e in p.encode(texts, num_threads=1)]
 
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.held = 0
+
+    def keep(self, piece: str, n: int) -> int:
+        self.known[piece] = n
+        self.held += ENTRY_BYTES + len(piece.encode())
+        return n
+
     def word(self, piece: str) -> int:
         n = self.known.get(piece)
-        if n is None:
-            n = self.known[piece] = len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
-        return n
+        return self.keep(piece, len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters)))) if n is None else n
 
-    def learn(self, new: set[str]) -> None:
+    def batches(self, texts: Iterable[str]) -> Iterator[list[str]]:
+        """Texts in order, in batches of about BATCH_BYTES (or one that is longer)."""
         batch, held = [], 0
+        for t in texts:
+            n = len(t.encode())
+            if batch and held + n > BATCH_BYTES:
+                yield batch
+                batch, held = [], 0
+            batch.append(t)
+            held += n
+        if batch:
+            yield batch
 
-        def flush() -> None:
-            nonlocal batch, held
-            self.known.update(zip(batch, self.encode(batch), strict=True))
-            batch, held = [], 0
-
+    def learn(self, new: set[str]) -> None:
+        """Counts of short pieces, to be kept."""
+        rest = []
         for p in new:
             bare = p[1:] if p[0] == " " else p
             if bare.isalpha():
                 self.word(p)
             elif bare[-1:] in MARKS and bare[:-1].isalpha():
-                self.known[p] = self.word(p[:-1]) + self.word(p[-1])
+                self.keep(p, self.word(p[:-1]) + self.word(p[-1]))
             else:
-                batch.append(p)
-                held += len(p)
-                if held >= BATCH_BYTES:
-                    flush()
-        if batch:
-            flush()
+                rest.append(p)
+        for batch in self.batches(rest):
+            for p, n in zip(batch, self.encode(batch), strict=True):
+                self.keep(p, n)
 
     def of(self, texts: list[str | None]) -> list[int]:
-        if self.model is None:
-            return [n for t in texts for n in ([0] if not t else self.encode([t]))]
-        out, at = [], 0
-        while at < len(texts):
-            stop, held = at, 0
-            while stop < len(texts) and (stop == at or held + len(texts[stop] or "") <= BATCH_BYTES):
-                held += len(texts[stop] or "")
-                stop += 1
-            parts = [safe_pieces(t) if t else () for t in texts[at:stop]]
-            if len(self.known) > self.KEEP:
-                self.known = {"": 0}
-            self.learn(set().union(*parts).difference(self.known))
-            n = self.known.__getitem__
-            out += [sum(map(n, p)) for p in parts]
-            at = stop
+        out: list[int] = []
+        for batch in self.batches(t or "" for t in texts):
+            out += self.cut(batch) if self.model is not None else self.encode(batch)
         return out
 
+    def cut(self, texts: list[str]) -> list[int]:
+        if self.held > self.keep_bytes:
+            self.forget()
+        parts = [safe_pieces(t) for t in texts]
+        distinct = set().union(*parts)
+        if long := [p for p in distinct if len(p) > SHORT]:
+            distinct.difference_update(long)
+            cuts = {p: list(pieces(p)) for p in long}
+            each = list(chain.from_iterable(cuts.values()))
+            lengths = iter([n for batch in self.batches(each) for n in self.encode(batch)])
+            counted = {p: sum(islice(lengths, len(c))) for p, c in cuts.items()}
+        else:
+            counted = {}
+        self.learn(distinct.difference(self.known))
+        n = self.known.__getitem__ if not long else lambda p: counted[p] if len(p) > SHORT else self.known[p]
+        return [sum(map(n, p)) for p in parts]
+
+
+def byte_level(t) -> bool:
+    """Whether pieces of a text add up: a byte-level pre-tokenizer with its pattern, nothing before it, and special strings that no cut goes through."""
+    p = t.pre_tokenizer
+    plain = type(p).__name__ == "ByteLevel" and p.use_regex and not p.add_prefix_space and t.normalizer is None
+    return plain and not any(re.search(r"\s", a.content) or a.content.isalnum() or a.lstrip or a.rstrip or a.single_word for a in t.get_added_tokens_decoder().values())
+
 
 def safe_pieces(text: str) -> list[str]:
-    """A text cut at every space and newline; where white space is crowded, in large pieces."""
+    """A text cut before every run of white space."""
+    if not text:
+        return []
     if CROWDED.search(text):
-        return list(pieces(text))
+        return RUNS.findall(text)
     out: list[str] = []
     for line in text.split("\n"):
         first, *rest = line.split(" ")
@@ -149,8 +179,6 @@ def count_batch(texts: list[str | None], path: str) -> list[int]:
 
 
 def n_tokens(text: Column, path: str) -> Column:
-    """Vocabularies that are not byte-level see whole texts: their pieces may join across any boundary."""
-
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:

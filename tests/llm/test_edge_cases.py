@@ -129,12 +129,13 @@ def test_url_rules_from_whole_paths(spark):
         assert mined.blocks(f"http://other.example.org/{path.format(bad)}") and not mined.blocks(f"http://other.example.org/{path.format(good)}"), k
 
 
-def test_url_rules_are_all_least_sets(spark):
-    """Against brute force, with a rule of five tokens."""
+@pytest.mark.parametrize("wide", [16, 1])
+def test_url_rules_are_all_least_sets(spark, wide):
+    """Against brute force, with a rule of five tokens; by FP-growth and level by level."""
     rng = random.Random(5)
     rows = [(f"http://h.org/?{'&'.join(k for k in 'abcdefg' if rng.random() < 0.8)}", i) for i in range(600)]
     rows = [(u, set("abcde") <= set(u) or (i % 7 == 0 and "f" not in u)) for u, i in rows]
-    got = {frozenset(r) for r in url_filter.mine(spark.createDataFrame(rows, "url string, blocked boolean")).rules}
+    mined = url_filter.mine(spark.createDataFrame(rows, "url string, blocked boolean"), wide=wide)
     sets = [(frozenset(url_filter.tokens(u)), b) for u, b in rows]
     want: list[frozenset[str]] = []
     every = sorted(frozenset().union(*(s for s, _ in sets)))
@@ -143,7 +144,38 @@ def test_url_rules_are_all_least_sets(spark):
             hit = [b for s, b in sets if c <= s]
             if sum(hit) >= 20 and sum(hit) >= 0.95 * len(hit) and not any(w <= c for w in want):
                 want.append(c)
-    assert got == set(want) and max(map(len, got)) == 5
+    assert set(mined.rules) == set(want) and max(map(len, mined.rules)) == 5
+    assert all(r["lift"] > 1 and r["confidence"] >= 0.95 for r in mined.report())
+
+
+def planted_pages(spark):
+    """Pages of bad documents stand on two patterns that no given rule fits; one pattern alone is clean."""
+    rows, bad = [], []
+    for i in range(600):
+        spam, casino = i % 6 == 0, i % 6 == 1
+        host = f"spam-{i % 5}.shop.biz" if spam else f"site{i % 9}.biz" if i % 6 < 4 else f"site{i % 9}.net"
+        path = "casino/deep/er" if casino or i % 6 == 5 else "news"
+        rows.append((i, f"http://{host}/{path}/{i}.html"))
+        bad.append((i, 0 if spam or casino else 1, 0))
+    rows += [(1000, "http://spam-77.new.biz/x"), (1001, "http://other.biz/casino/deep/er/"), (1002, "http://other.net/casino/deep/er/"), (1003, "http://a.com/en/9"), (1004, None), (1004, "nothing")]
+    return spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(bad + [(0, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+
+
+def test_mined_rules_block_pages_that_no_given_rule_fits(spark):
+    import duckdb
+
+    pages, labels = planted_pages(spark)
+    got = url_filter.query(pages, labels).toPandas()
+    out = {r.page_id: (r.rule, r.verdict) for r in got.itertuples()}
+    assert out[1000] == (None, "block") and out[1001] == (None, "block") and out[1002] == (None, "allow")
+    assert out[1003] == ("com/en/", "block") and out[1004] == (None, "allow")
+    assert all(out[i][1] == ("block" if i % 6 < 2 else "allow") for i in range(600))
+    c = duckdb.connect()
+    c.register("pages", pages.toPandas())
+    c.register("labels", labels.toPandas())
+    want = c.sql(url_filter.oracle()).df()
+    key = lambda d: sorted(str([None if v != v else v for v in r]) for r in d[["page_id", "host", "path", "rule", "verdict"]].itertuples(index=False))
+    assert key(got) == key(want)
 
 
 def test_mixing(spark):

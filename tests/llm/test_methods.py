@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanloom.llm import bytetext, common, decontaminate, minhash, quality_mil, queries, sharding, token_counts, toxicity, warc
+from spanloom.llm import bytetext, common, decontaminate, minhash, mixing, quality_mil, queries, sharding, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -188,12 +188,60 @@ def test_slot_maps_are_edited():
 
 
 def test_slot_map_versions(spark):
-    maps = sharding.SlotMaps(spark)
+    """Placing again with the map in force changes nothing; another shard count or other bytes edit it."""
+    maps = sharding.SlotMaps(spark, common.kept_path(spark, f"test-maps-{random.random()}"))
     docs = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(500)], "doc_id long, text string")
     sharding.place(docs, 4, 64, maps=maps)
-    sharding.place(docs, 5, 64, maps=maps, version=1)
+    sharding.assign(docs, 4, 64, maps=maps)
+    assert maps.last() == 0
+    sharding.assign(docs, 5, 64, maps=maps)
+    assert maps.last() == 1
     a, b = maps.mapping(0), maps.mapping(1)
     assert set(a.values()) == set(range(4)) and set(b.values()) == set(range(5)) and sum(a[s] != b[s] for s in a) < 40
+    more = docs.union(spark.createDataFrame([(7, "y" * 9000)], "doc_id long, text string"))
+    sharding.place(more, 5, 64, maps=maps)
+    assert maps.last() == 2
+
+
+def test_sharding_against_brute_force(spark):
+    """Sizes, checksums, one slot an id, gapless places, even bytes; a hot id with many texts, a hot document, null ids."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    rows = [(i, "é" * (i % 60)) for i in range(3000)] + [(5, f"text {i}") for i in range(700)] + [(6, "same")] * 25_000 + [(None, f"n{i}") for i in range(50)] + [(None, None)]
+    out = sharding.query(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    want = Counter((i if i is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter(zip(out.doc_id.fillna(-1).astype(int), out["size"], out.text_crc32, strict=True)) == want
+    assert set(out.law) == {"bytes"} and out.grown_shard.isna().all()
+    slots, shard_of = defaultdict(list), defaultdict(set)
+    for r in out.itertuples():
+        slots[r.shard].append(r.slot)
+        shard_of[r.virtual_slot].add(r.shard)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for v in shard_of.values())
+    assert out[out.doc_id == 5].virtual_slot.nunique() == 1
+    load, heavy = out.groupby("shard")["size"].sum(), out.groupby("virtual_slot")["size"].sum().max()
+    assert set(load.index) == set(range(16)) and load.max() - load.min() <= heavy
+    again = sharding.query(spark.createDataFrame(rows[::-1], "doc_id long, text string")).toPandas()
+    key = lambda d: sorted(map(str, d.itertuples(index=False)))
+    assert key(again) == key(out)
+
+
+def test_scopes_delete_only_what_they_staged(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 30, "s") for i in range(50)], "doc_id long, text string, source string")
+    frames = [sharding.query(docs), mixing.query(docs), minhash.query(docs)]
+    with common.scope(spark):
+        inside = common.stage(docs, "inside")
+        sharding.query(docs).count()
+        assert inside.count() == 50
+    assert [f.count() for f in frames] == [50, 50, 50]
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        inside.count()
+
+
+def test_broadcast_is_bound_by_bytes(spark):
+    t = common.stage(spark.range(2000).selectExpr("id", "repeat('x', 1000) AS s"), "wide")
+    plan = lambda d: spark.range(10).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(common.small(t)) and "strategy=broadcast" not in plan(common.small(t, 1_000_000))
 
 
 @data
@@ -246,3 +294,41 @@ def test_held_out_accuracy():
     s = m.score(*bytetext.utf8(pa.array([t for _, t, _ in held])))
     y = np.array([r[2]["toxic"] for r in held])
     assert (s[y == 1] >= 0.3).mean() > 0.88 and (s[y == 0] >= 0.3).mean() < 0.02
+
+
+def test_token_cache_is_bound_by_bytes():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, lengths = Tokenizer.from_file(path), token_counts.Lengths(path, keep_bytes=200_000)
+    r = random.Random(7)
+    texts = [f"Paragraph {i} of words.\n\n  \tNext  one{i}{'y' * r.randrange(90)}\r\n\x1c {'x' * r.randrange(200)}中{i}\n" * 3 for i in range(3000)]
+    for k in range(0, len(texts), 100):
+        own = texts[k : k + 100]
+        assert lengths.of(own) == [len(whole.encode(t, add_special_tokens=False)) for t in own]
+        assert max(map(len, lengths.known)) <= token_counts.SHORT
+        assert lengths.held < 200_000 + 200 * 3000  # what one batch adds at most
+    assert token_counts.byte_level(whole)
+
+
+def test_token_counts_of_other_vocabularies():
+    """Whole texts in batches, where pieces may join across spaces."""
+    from pathlib import Path
+
+    for path in sorted(Path("/opt/tokenizers").rglob("*.model"))[:2] + sorted(Path("/opt/tokenizers").rglob("*.json"))[:6]:
+        texts = ["Hello  world 12ab.\n\nNext one", "", None, "ab " * 500]
+        if path.suffix == ".model":
+            import sentencepiece
+
+            p = sentencepiece.SentencePieceProcessor(model_file=str(path))
+            want = [len(p.encode(t or "")) for t in texts]
+        else:
+            from tokenizers import Tokenizer
+
+            try:
+                t_ = Tokenizer.from_file(str(path))
+            except Exception:  # a file of another kind
+                continue
+            want = [len(t_.encode(t or "", add_special_tokens=False)) for t in texts]
+        assert token_counts.count_batch(texts, str(path)) == want, path
