@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
+    "op6_url_filter": url_filter.oracle(),
     "op7_mixing": mixing.oracle(),
     "op8_warc": warc.oracle(),
 }
