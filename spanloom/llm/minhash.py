@@ -8,11 +8,13 @@ signature places for one evaluation.  BANDS bands of ROWS places each meet for a
 2. Equal sequences form a class; its smallest id stands for it, so groups of copies cost one row afterwards.
 3. Band keys that several representatives share are buckets.  The smallest id of a bucket leads it; every other member is a
    candidate with the leader only, never with all others.
-4. Candidates are confirmed on full shingle sets; confirmed links give components.
+4. Candidates are confirmed on full shingle sets (eight bytes a shingle, made once a document); confirmed links give components.  A
+   candidate's set goes to its leader's, so a hot leader's set is read where its candidates are and never shuffled with each.
 5. All members that ever met one leader form its group.  A group whose members still stand in different components is open: its strays
-   (members outside the leader's component) are compared with the other members, in blocks of BLOCK by BLOCK that carry one byte of each
-   signature place and the full shingle sets.  Pairs whose estimate reaches ESTIMATE (over four deviations under 0.8) are confirmed
-   on the sets there and then, so that no unlinked pair becomes a row.  No group is capped.
+   (members outside the leader's component) are compared with the other members whose size allows the threshold (the same size class
+   or the next), in blocks of at most BLOCK members and about BLOCK_BYTES of sets, with one byte of each signature place.  Pairs whose
+   estimate reaches ESTIMATE (over four deviations under 0.8) are confirmed on the sets there and then, so that no unlinked pair
+   becomes a row.  No group is capped; the blocks that meet grow as strays times members of one size class over BLOCK squared.
 
 Components: a bounded number of links is joined by union-find in one task, more by alternating large and small stars.
 
@@ -20,8 +22,8 @@ Links between texts at or over the threshold are thus lost only if no band meets
 
 Defined results: null, empty or blank texts have no shingles, link with nothing and are kept; a text with fewer than k
 words has one shingle, the whole sequence; a row with null id gets a null component and is kept; rows that repeat an id count
-as one document that has the links of each; ties go to the smallest id; an empty table gives an empty result; other
-columns are ignored.
+as one document that has the links of each; ties go to the smallest id; a very long text is one row of eight bytes a distinct shingle (so
+up to 250 million of them); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import U, mix, powers, shingles, slices, utf8, words
-from .common import keep_ids, small, stage
+from .common import drop, keep_ids, small, stage
 
 ROWS, BANDS = 6, 40
 PERMS = ROWS * BANDS // 2
 SLICE_BYTES, SLICE_WORDS = 4 << 20, 1 << 15
-BLOCK, ESTIMATE = 64, 0.68
+BLOCK, BLOCK_BYTES, ESTIMATE = 64, 4 << 20, 0.68
 #: Up to so many links (16 bytes each) may meet in one task.
 FEW_LINKS = 1_000_000
 
@@ -109,36 +111,26 @@ def sign(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold.  texts: staged (id, text).  AQE splits hot sides."""
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (leader, id) whose full shingle sets reach the threshold, as (a, b).  sets: staged (id, set).  AQE splits hot leaders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [utf8(batch.column(c)) for c in (2, 3)]
-            weight = np.diff(cols[0][1]) + np.diff(cols[1][1])
-            for lo, hi in slices(weight, SLICE_BYTES):
-                ids = [batch.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1)]
-                known: dict[bytes, np.ndarray] = {}
-                sets = []
-                for data, off in cols:
-                    raw = [data[off[i] : off[i + 1]].tobytes() for i in range(lo, hi)]
-                    new = list(dict.fromkeys(r for r in raw if r not in known))
-                    if new:
-                        d, o = utf8(pa.array(new, pa.binary()).cast(pa.string()))
-                        sh = shingles(words(d, o), len(new), k)
-                        known |= {r: np.unique(sh.hash[sh.first[i] : sh.first[i + 1]]) for i, r in enumerate(new)}
-                    sets.append([known[r] for r in raw])
-                ok = []
-                for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                    small_, large = sorted((len(x), len(y)))
-                    if small_ and 100 * small_ >= percent * large:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * both >= percent * (len(x) + len(y) - both):
-                            ok.append(i)
-                yield pa.RecordBatch.from_pydict({"a": pa.array([ids[0][i] for i in ok], pa.int64()), "b": pa.array([ids[1][i] for i in ok], pa.int64())})
-
-    x, y = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+            ok = []
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                if len(x) > len(y):
+                    x, y = y, x
+                if len(x) and 100 * len(x) >= percent * len(y):
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        ok.append(i)
+            at = pa.array(ok, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["leader", "id"])
+
+    led = sets.select(F.col("id").alias("leader"), F.col("set").alias("whole"))
+    found = pairs.join(sets, "id").join(led, "leader").select("leader", "id", "set", "whole").mapInArrow(run, "leader long, id long")
+    return found.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
 
 
 def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,25 +215,32 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id long, set binary")
 
 
-def open_links(led: DataFrame, comps: DataFrame, signed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def open_links(led: DataFrame, comps: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components in open groups.  led: (key, id, leader); a leader has been compared with all of its group."""
-    comps = small(comps, 500_000)
+    comps = small(comps)
     rest = led.where("id <> leader").select("leader", "id").distinct().join(comps, "id", "left").withColumnRenamed("comp", "own")
     rest = rest.join(comps.select(F.col("id").alias("leader"), "comp"), "leader", "left")
     rest = stage(rest.select("leader", "id", F.coalesce("own", "id").alias("comp"), (F.coalesce("own", "id") != F.coalesce("comp", "leader")).alias("stray")), "minhash-rest")
-    open_ = rest.groupBy("leader").agg(F.count("*").alias("n"), F.count_if("stray").alias("s"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("s > 0 AND x <> y").select("leader", "n", "s")
-    rows = stage(rest.join(small(stage(open_, "minhash-open"), 500_000), "leader"), "minhash-open-rows")
+    open_ = stage(rest.groupBy("leader").agg(F.count_if("stray").alias("s"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("s > 0 AND x <> y").select("leader"), "minhash-open")
+    rows = stage(rest.join(small(open_), "leader"), "minhash-open-rows")
     ids = stage(rows.select("id").distinct(), "minhash-open-ids")
     sigs = keep_ids(signed.where("n_shingles > 0").select(F.col("doc_id").alias("id"), "sig"), "id", ids).groupBy("id").agg(F.min("sig").alias("sig"))
-    rows = stage(rows.join(sigs, "id").join(shingle_sets(keep_ids(texts, "id", ids), k), "id"), "minhash-blocks")
+    # Sizes a and b can only reach the threshold if they stand in one class or in two that touch.
+    kind = F.floor(F.log(F.octet_length("set") / 8) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("int")
+    rows = stage(rows.join(sigs, "id").join(keep_ids(sets, "id", ids), "id").withColumn("kind", kind), "minhash-blocks")
+    rest_, open_rows = rest, rows
 
-    def blocks(rows: DataFrame, of: str, mark: str) -> DataFrame:
-        dealt = rows.withColumn("block", F.expr(f"pmod(xxhash64(id), CAST(ceil({of} / {BLOCK}) AS BIGINT))"))
-        packed = dealt.groupBy("leader", "block").agg(F.collect_list(F.struct("id", "comp", "sig", "set")).alias("m"))
-        return packed.select("leader", *[F.col(f"m.{c}").alias(c + mark) for c in ("id", "comp", "sig", "set")])
+    def blocks(rows: DataFrame, mark: str) -> DataFrame:
+        per = rows.groupBy("leader", "kind").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("set").cast("long")) / BLOCK_BYTES)).cast("long").alias("of"))
+        dealt = rows.join(small(stage(per, "minhash-kinds")), ["leader", "kind"]).withColumn("block", F.expr("pmod(xxhash64(id), of)"))
+        packed = dealt.groupBy("leader", "kind", "block").agg(F.collect_list(F.struct("id", "comp", "sig", "set")).alias("m"))
+        return packed.select("leader", "kind", *[F.col(f"m.{c}").alias(c + mark) for c in ("id", "comp", "sig", "set")])
 
-    both = blocks(rows.where("stray"), "s", "").join(blocks(rows, "n", "2"), "leader").drop("leader")
-    return both.mapInArrow(compare_blocks(percent), "a long, b long").distinct()
+    strays = blocks(open_rows.where("stray"), "").withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1)))
+    both = strays.join(blocks(open_rows, "2"), ["leader", "kind"]).drop("leader", "kind")
+    out = stage(both.mapInArrow(compare_blocks(percent), "a long, b long").distinct(), "minhash-links")
+    drop(rest_, open_, ids, open_rows)
+    return out
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,18 +251,20 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     reps = keep_ids(signed.where("n_shingles > 0"), "doc_id", stage(classes.select("rep").distinct(), "minhash-reps"))
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     lead = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
-    led = stage(rows.join(small(stage(lead, "minhash-leaders"), 500_000), "key").select("key", "id", "leader"), "minhash-led")
-    texts = stage(keep_ids(narrow, "doc_id", stage(led.select("id").distinct(), "minhash-ids")).select(F.col("doc_id").alias("id"), "text"), "minhash-texts")
+    led = stage(rows.join(small(stage(lead, "minhash-leaders")), "key").select("key", "id", "leader"), "minhash-led")
+    met = keep_ids(narrow, "doc_id", stage(led.select("id").distinct(), "minhash-ids")).select(F.col("doc_id").alias("id"), "text")
+    sets = stage(shingle_sets(met, k), "minhash-sets")
 
-    asked = led.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    edges = stage(confirm(asked, texts, k, percent), "minhash-links")
+    asked = led.where("id <> leader").select("leader", "id").distinct()
+    edges = stage(confirm(asked, sets, percent), "minhash-links")
     comps = components(edges)
-    more = stage(open_links(led, comps, signed, texts, k, percent), "minhash-links")
+    more = open_links(led, comps, signed, sets, percent)
     if not more.isEmpty():
         comps = components(stage(edges.union(more), "minhash-links"))
+    drop(led, sets)
 
-    named = classes.join(small(comps.withColumnRenamed("id", "rep"), 500_000), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
-    named = small(stage(named, "minhash-named"), 500_000).alias("c")
+    named = classes.join(small(comps.withColumnRenamed("id", "rep")), "rep", "left").where("copies > 1 OR comp IS NOT NULL").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
+    named = small(stage(named, "minhash-named")).alias("c")
     out = signed.select("doc_id", "n_shingles", "hi", "lo").alias("s").join(named, F.expr("s.n_shingles > 0 AND s.hi = c.hi AND s.lo = c.lo"), "left")
     comp = F.when(F.col("s.doc_id").isNotNull(), F.coalesce("c.comp", "s.doc_id"))
     return out.select("s.doc_id", "s.n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("s.doc_id"), F.lit(True)).alias("kept"))

@@ -65,6 +65,24 @@ def test_near_dedup_against_brute_force(spark, k):
     assert got == brute_components(rows, k, 80)
 
 
+def test_near_dedup_of_open_groups_in_small_blocks(spark, monkeypatch):
+    """A template whose fillings make many strays of several sizes, in blocks of three members or some hundred bytes."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    r = random.Random(11)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for g in range(14):
+        own = template + [f"g{g}x{i}" for i in range(r.choice([9, 14, 20, 26]))]
+        for _ in range(4):
+            t = list(own)
+            t[r.randrange(len(t))] = f"x{len(rows)}"
+            rows.append((len(rows) if r.random() < 0.9 else 0, " ".join(t)))
+    rows = list({i: (i, t) for i, t in rows}.values())
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.link(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == brute_components(rows, 4, 80)
+
+
 def test_stars_equal_union_find(spark):
     r = random.Random(1)
     edges = common.stage(spark.createDataFrame([(a, b) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(60)) if a != b], "a long, b long"), "test-edges")
