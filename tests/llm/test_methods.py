@@ -110,8 +110,8 @@ def test_words_match_a_regex(monkeypatch):
     assert [(t, raw[s:e].tobytes()) for t, s, e in zip(w.text, w.start, w.end, strict=True)] == want
 
 
-def test_decontamination_against_brute_force():
-    r = random.Random(3)
+def leaky(seed=3):
+    r = random.Random(seed)
     vocab = [f"w{i}" for i in range(30)]
     items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([2, 4, 7, 15, 30])))) for i in range(25)]
     texts = []
@@ -122,8 +122,6 @@ def test_decontamination_against_brute_force():
             piece = piece[1:-1]
         at = r.randrange(len(ws) + 1)
         texts.append(" ".join(ws[:at] + piece + ws[at:]))
-    raw, off = bytetext.utf8(pa.array(texts))
-    got = {(t, i): (round(s, 9), p) for t, i, s, p, _ in decontaminate.search(raw, off, decontaminate.index(items), 0.8)}
     want = {}
     for t, text in enumerate(texts):
         ws = [w.encode() for w in text.split()]
@@ -135,19 +133,65 @@ def test_decontamination_against_brute_force():
                 s = decontaminate.similarity(decontaminate.word_grams(ws[p : p + n], k), grams)
                 if s >= 0.8 and s > want.get((t, i), (0,))[0]:
                     want[t, i] = (s, p)
-    assert got == {key: (round(s, 9), p) for key, (s, p) in want.items()}
+    return items, texts, {key: (round(s, 9), p) for key, (s, p) in want.items()}
 
 
-def test_hamming_blocks_find_all_within_radius():
+def test_decontamination_against_brute_force():
+    items, texts, want = leaky()
+    raw, off = bytetext.utf8(pa.array(texts))
+    groups = decontaminate.index(items)
+    got = {(t, i): (round(s, 9), p) for t, i, s, p, _ in decontaminate.search(raw, off, decontaminate.Index([groups], decontaminate.vocabulary(groups)), 0.8)}
+    assert got == want
+
+
+@pytest.mark.parametrize("block_items", [2000, 4])
+def test_decontamination_in_blocks_against_brute_force(spark, monkeypatch, block_items):
+    """The whole operators: all items in one index file or in several."""
+    items, texts, want = leaky(4)
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.word_start) for r in decontaminate.leaks(docs, bench, block_items=block_items).collect()}
+    assert got == want
+    kept = {r.doc_id for r in decontaminate.drop_leaks(docs, bench, block_items=block_items).collect()}
+    assert kept == set(range(len(texts))) - {t for t, _ in want}
+
+
+def test_index_files_are_held_up_to_a_bound(tmp_path, monkeypatch):
+    import pickle
+
+    files = []
+    for n in range(5):
+        groups = decontaminate.index([(n, f"one two three {n}")])
+        (tmp_path / f"{n}.items").write_bytes(pickle.dumps(groups))
+        (tmp_path / f"{n}.vocab").write_bytes(pickle.dumps(decontaminate.vocabulary(groups)))
+        files.append((f"file://{tmp_path}/{n}.items", f"file://{tmp_path}/{n}.vocab"))
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 2 * (tmp_path / "0.items").stat().st_size + 20)
+    i = decontaminate.index_of(files)
+    assert [b[0].ids for _ in range(2) for b in i.blocks()] == [[n] for n in range(5)] * 2 and len(i.held) == 2
+    assert sum(map(len, i.vocab.values())) == 5
+
+
+@pytest.mark.parametrize("n", [50, 3000])
+def test_hamming_blocks_find_all_within_radius(n):
     r = np.random.default_rng(4)
-    prints = r.integers(0, 256, (50, 8), dtype=np.uint8)
-    g = decontaminate.Group(9, 5, list(range(50)), [], np.zeros(0), prints, np.stack([decontaminate._NEAR[:, prints[:, b]] for b in range(8)]))
-    for _ in range(200):
-        bits = np.unpackbits(prints[r.integers(50)])
-        bits[r.choice(64, r.integers(0, 40), replace=False)] ^= 1
-        q = np.packbits(bits)
-        near = [i for i in range(50) if sum(int(x).bit_count() for x in prints[i] ^ q) <= decontaminate.RADIUS]
-        assert g.candidates(q).tolist() == near
+    prints = r.integers(0, 1 << 16, (n, 16)).astype(np.uint16)
+    g = decontaminate.Group(9, 5, list(range(n)), [b""] * n, np.zeros(0), prints)
+    for _ in range(100):
+        bits = np.unpackbits(prints[r.integers(n)].view(np.uint8))
+        bits[r.choice(256, r.integers(0, 80), replace=False)] ^= 1
+        q = np.packbits(bits).view(np.uint16)
+        near = np.flatnonzero(np.unpackbits((prints ^ q).view(np.uint8).reshape(n, -1), axis=1).sum(axis=1) <= decontaminate.RADIUS)
+        assert g.candidates(q).tolist() == near.tolist()
+
+
+def test_similar_windows_are_within_the_radius():
+    """Windows at a similarity of just 0.8: the fingerprints' distances have the mean and deviation that the docstring states."""
+    r, far = random.Random(8), []
+    for _ in range(1500):
+        a = [r.getrandbits(64) for _ in range(36)]
+        b = a[4:] + [r.getrandbits(64) for _ in range(4)]  # 32 of 40
+        x, y = (decontaminate.fingerprint(np.array(v, dtype=np.uint64)) for v in (a, b))
+        far.append(int(np.unpackbits((x ^ y).view(np.uint8)).sum()))
+    assert max(far) <= decontaminate.RADIUS and 36 < np.mean(far) < 42 and 5 < np.std(far) < 6.6
 
 
 def test_token_counts_equal_the_library():
