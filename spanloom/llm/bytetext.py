@@ -155,3 +155,24 @@ def slices(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         stop = max(at + 1, int(np.searchsorted(upto, upto[at] + most, side="right")) - 1)
         yield at, stop
         at = stop
+
+
+def segments(data: np.ndarray, off: np.ndarray, most: int, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of texts where those over `most` bytes are cut at the first separator from there on (a run without one stays whole), and whose text each is."""
+    cuts: list[int] = []
+    owners: list[int] = []
+    for t in np.flatnonzero(np.diff(off) > most).tolist():
+        at, end = int(off[t]), int(off[t + 1])
+        while end - at > most:
+            at += most
+            while at < end and not len(found := np.flatnonzero(spaces[data[at : min(at + PIECE, end)]])):
+                at = min(at + PIECE, end)
+            if at >= end:
+                break
+            at += int(found[0])
+            cuts.append(at)
+            owners.append(t)
+    place = np.searchsorted(off, np.array(cuts, np.int64), side="right")
+    new = np.insert(off, place, cuts) if cuts else off
+    owner = np.sort(np.concatenate([np.arange(len(off) - 1), np.array(owners, np.int64)]))
+    return new, owner

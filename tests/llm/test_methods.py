@@ -334,28 +334,112 @@ def labelled(sf):
     return [(r["doc_id"], r["text"], y[r["doc_id"]]) for r in d if r["doc_id"] in y]
 
 
+def bag_of(text):
+    q = quality_mil.passages(*bytetext.utf8(pa.array([text])))
+    return q.rates, q.words, q.pairs
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
-def test_held_out_accuracy():
+def test_held_out_accuracy(spark):
     import zlib
 
     rows = labelled("/root/testdata/sf0.1")
     rest = lambda i, folds: zlib.crc32(str(i).encode()) % folds
     train = [r for r in rows if rest(r[0], 5) != 0][:1500]
-    bags = []
-    for _, t, _ in train:
-        bags.append(quality_mil.passages(*bytetext.utf8(pa.array([t])))[0])
-    keep = [i for i, b in enumerate(bags) if len(b)]
+    bags = [bag_of(t) for _, t, _ in train]
+    keep = [i for i, b in enumerate(bags) if len(b[1])]
     m = quality_mil.fit([bags[i] for i in keep], np.array([float(train[i][2]["quality"]) for i in keep]))
     held = [r for r in rows if rest(r[0], 5) == 0]
-    s = m.score(*quality_mil.passages(*bytetext.utf8(pa.array([t for _, t, _ in held]))))
+    s = m.score(*bytetext.utf8(pa.array([t for _, t, _ in held])))
     y = np.array([r[2]["quality"] for r in held])
     assert ((s >= 0.3) == (y == 1)).mean() > 0.97
-    train = [r for r in rows if rest(r[0], 4) != 2]
-    m = toxicity.fit([t for _, t, _ in train], np.array([float(r[2]["toxic"]) for r in train]))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
     held = [r for r in rows if rest(r[0], 4) == 2]
     s = m.score(*bytetext.utf8(pa.array([t for _, t, _ in held])))
     y = np.array([r[2]["toxic"] for r in held])
     assert (s[y == 1] >= 0.3).mean() > 0.88 and (s[y == 0] >= 0.3).mean() < 0.02
+    told = {r["voter"]: r for r in m.report()}
+    assert told["density"]["accuracy"] > 0.9 and told["none of any"]["accuracy"] > 0.9 > 0.5 > told["capitals"]["accuracy"]
+
+
+def test_gradients_by_finite_differences():
+    r = random.Random(2)
+    bags = [bag_of(" ".join(f"w{r.randrange(50)}{'!' * r.randrange(3)}" for _ in range(n))) for n in (3, 70, 200, 64)]
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    m = quality_mil.start(bags)
+    x, first = m.rates(np.concatenate([b[0] for b in bags])).astype(float), np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])])[:-1]
+    counts = quality_mil.counts_of(bags).astype(float)
+    assert np.allclose(counts.sum(axis=1), 1)
+
+    def loss():
+        p = m.forward(np.concatenate([x, counts @ m.p["E"]], axis=1), first)["y"]
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+    grad = m.gradient(x, counts, first, y)
+    for k, g in grad.items():
+        flat, own = m.p[k].reshape(-1), np.asarray(g).reshape(-1)
+        for i in np.argsort(-np.abs(own))[:3].tolist() + [r.randrange(len(own))]:
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / 2e-5 - own[i]) < 1e-6 + 1e-3 * abs(own[i]), (k, i)
+    # The embeddings of training and of scoring agree.
+    q = quality_mil.passages(*bytetext.utf8(pa.array(["one two three two " * 40])))
+    assert np.allclose(m.embedded(q), quality_mil.counts_of([(q.rates, q.words, q.pairs)]) @ m.p["E"], atol=1e-5)
+
+
+def test_long_texts_are_scored_in_segments(monkeypatch):
+    """Attention over segments is the attention over all their passages, whichever slice they are worked in."""
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(300)}" for _ in range(n)) for n in (10, 900, 4000, 0, 2500)] + ["x" * 9000]
+    bags = [bag_of(t) for t in texts if t]
+    m = quality_mil.start(bags)
+    raw, off = bytetext.utf8(pa.array(texts))
+    monkeypatch.setattr(quality_mil, "SEGMENT", 3000)
+    cut, owner = bytetext.segments(raw, off, 3000)
+    assert b"".join(raw[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)) == raw.tobytes() and sorted(set(owner)) == list(range(6))
+    parts = [quality_mil.passages(raw[a:b], np.array([0, b - a])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    want = np.zeros(6)
+    for t in range(6):
+        own = [q for q, o in zip(parts, owner, strict=True) if o == t and len(q.words)]
+        if own:
+            x = np.concatenate([np.concatenate([m.rates(q.rates), m.embedded(q)], axis=1) for q in own])
+            want[t] = m.forward(x, np.array([0]))["y"][0]
+    for size in (2 << 20, 5000):
+        monkeypatch.setattr(quality_mil, "SLICE_BYTES", size)
+        assert np.allclose(m.score(raw, off), want, atol=1e-6)
+
+
+def test_label_model_against_brute_force():
+    """One round of EM by plain loops gives the same tables; known accuracies are found again; a copied voter shares its weight."""
+    r = np.random.default_rng(5)
+    y = r.random(4000) < 0.2
+    truth = [(0.9, 0.8), (0.7, 0.75), (0.5, 0.95), (0.85, 0.6)]  # how often a voter speaks, and is right
+    votes = np.stack([np.where(r.random(4000) < s, np.where(r.random(4000) < a, np.where(y, 1, -1), np.where(y, -1, 1)), 0) for s, a in truth] + [np.zeros(4000)], axis=1).astype(np.int8)
+    votes[:, 4] = votes[:, 0]
+    m = toxicity.label_model(votes, 0.2, lead=2)
+    assert np.abs(m.accuracy()[:4] - [a for _, a in truth]).max() < 0.08
+    assert m.weight[0] == m.weight[4] and m.weight[0] < 0.6 < m.weight[2]
+    assert ((m.posterior >= 0.5) == y).mean() > 0.88
+    q = [p >= 0.5 for p in m.posterior]
+    for v in range(5):
+        for table, side in ((m.toxic, True), (m.clean, False)):
+            own = [int(x) for x, c in zip(votes[:, v], q, strict=True) if c == side]
+            assert np.allclose(table[v], [(own.count(k) + 0.5) / (len(own) + 1.5) for k in (-1, 0, 1)])
+    d = 17
+    evidence = sum(m.weight[v] * (np.log(m.toxic[v, votes[d, v] + 1]) - np.log(m.clean[v, votes[d, v] + 1])) for v in range(5) if votes[d, v])
+    assert np.isclose(m.posterior[d], 1 / (1 + np.exp(-(np.log(0.2 / 0.8) + evidence))))
+
+
+def test_forms_are_counted_as_by_hand(spark):
+    rows = [(1, "you stupid fool, fool", 1), (0, "a fool of hope", 2), (1, "stupid is", 3), (0, "is", 4)]
+    got = {r.h: (r.a, r.b) for r in toxicity.count_forms(spark.createDataFrame([r[:2] for r in rows], "y int, text string")).collect()}
+    h = lambda w: np.array([toxicity.hash_of(w)], dtype=np.uint64).view(np.int64)[0]
+    assert [got[h(w)] for w in ("fool", "stupid", "is", "hope")] == [(1, 1), (2, 0), (1, 1), (0, 1)]
 
 
 def test_token_cache_is_bound_by_bytes():
