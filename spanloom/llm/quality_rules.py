@@ -4,6 +4,9 @@ Integer metrics of every whole text are summarised by mergeable log-bucket quant
 error under 2 %) for each language and source; fences drawn from their quartiles replace fixed cutoffs,
 and are joined back to the metrics.  All of it is DataFrame expressions; the text is read once.
 
+A group's fences lean on its language's (the sketches merged over all its sources) by the weight of PRIOR documents, so that a group of a few
+documents has nearly its language's fences, a large one its own, and no size changes them at once.
+
 A sketch is rows (group, metric, bucket, count, largest value); two sketches merge by adding counts, so
 Spark's partial aggregation merges them before any shuffle and a hot source costs no more than others.
 
@@ -23,8 +26,8 @@ from .common import small, stage, words_in
 
 SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
-#: Groups with fewer documents take the fences of their language, merged over all its sources.
-MIN_GROUP = 50
+#: Weight, in documents, of a language's fences beside those of a group.
+PRIOR = 50
 #: metric -> least distance from the median to the upper fence; the lower fence exists for mean_len only.
 SLACK = {"symbol": 50, "upper": 200, "repeat": 200, "dup_line": 400, "mean_len": 30}
 LOWER_SLACK = {"mean_len": 20}
@@ -87,18 +90,21 @@ def fences(sk: DataFrame, by: list[str]) -> DataFrame:
     return q.groupBy(*by).agg(F.max("n_docs").alias("n_docs"), *out)
 
 
+#: A fence between that of the group and that of its language, the nearer to its own the more documents it has.
+BLEND = "(CAST(o.n_docs AS DOUBLE) * o.{n} + " + str(PRIOR) + " * CAST(p.{n} AS DOUBLE)) / (o.n_docs + " + str(PRIOR) + ")"
+
+
 def judge(docs: DataFrame, **columns: str) -> DataFrame:
     """Every document with its metrics, base_failed, and kept (within all fences of its group)."""
     m = stage(
         metrics(docs, **columns).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")), "quality-metrics"
     )
     sk = stage(sketch(m, ["lang", "source"]), "quality-sketch")
-    own = fences(sk, ["lang", "source"]).where(F.col("n_docs") >= MIN_GROUP)
+    own = fences(sk, ["lang", "source"])
     pooled = fences(sk.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top")), ["lang"])
     names = [f"hi_{k}" for k in SLACK] + [f"lo_{k}" for k in LOWER_SLACK]
-    groups = sk.select("lang", "source").distinct().alias("g")
-    g = groups.join(own.alias("o"), F.expr("g.lang <=> o.lang AND g.source <=> o.source"), "left").join(pooled.alias("p"), F.expr("g.lang <=> p.lang"), "left")
-    limits = small(stage(g.select("g.lang", "g.source", *[F.coalesce(f"o.{n}", f"p.{n}").alias(n) for n in names]), "quality-fences"))
+    g = own.alias("o").join(pooled.alias("p"), F.expr("o.lang <=> p.lang"))
+    limits = small(stage(g.selectExpr("o.lang", "o.source", *[f"{BLEND.format(n=n)} AS {n}" for n in names]), "quality-fences"))
     within = [F.expr(VALUES[k]) <= F.col(f"hi_{k}") for k in SLACK] + [F.expr(VALUES[k]) >= F.col(f"lo_{k}") for k in LOWER_SLACK]
     ok = within[0]
     for c in within[1:]:
@@ -139,8 +145,6 @@ def oracle() -> str:
     own AS ({limits("lang, source", "sk")}),
     skl AS (SELECT lang, metric, bucket, sum(n) AS n, max(top) AS top FROM sk GROUP BY ALL),
     pooled AS ({limits("lang", "skl")}),
-    lim AS (SELECT g.lang, g.source, {", ".join(f"coalesce(o.{n}, p.{n}) AS {n}" for n in names)} FROM (SELECT DISTINCT lang, source FROM sk) g
-      LEFT JOIN (SELECT * FROM own WHERE n_docs >= {MIN_GROUP}) o ON g.lang IS NOT DISTINCT FROM o.lang AND g.source IS NOT DISTINCT FROM o.source
-      LEFT JOIN pooled p ON g.lang IS NOT DISTINCT FROM p.lang)
+    lim AS (SELECT o.lang, o.source, {", ".join(f"{BLEND.format(n=n)} AS {n}" for n in names)} FROM own o JOIN pooled p ON o.lang IS NOT DISTINCT FROM p.lang)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce({ok}, true)) AS kept
     FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source"""

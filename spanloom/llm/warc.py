@@ -10,6 +10,11 @@ others as revisit records that keep the HTTP header (with the full length) and t
 Archives are written by tasks straight into the shared folder.  A task names its files in the rows it returns, and
 only rows of tasks that Spark has committed reach the manifest, so a task that is run again leaves no trace.
 
+Record ids are fresh UUIDs; the page of a record and the page a revisit refers to stand in header fields of our own.  Archives of others
+can be read: warcinfo, request, metadata and other records give rows too (their whole block is the payload unless it is HTTP), folded
+header lines are joined, digests may be base 32 or hex, other digests than SHA-1 are not checked, and HTTP lengths only where the body is
+stored as it was sent.
+
 Defined results: null html is an empty payload; a null url gives no WARC-Target-URI; a null page_id makes a response
 unless an equal payload has an id; rows that repeat both id and payload are all written as the largest id's response;
 an empty table gives one empty manifest and no records; other columns are ignored.
@@ -23,6 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 from typing import BinaryIO
 from urllib.parse import quote
 
@@ -35,10 +41,10 @@ from .common import new_path, small, stage
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
 CHUNK = 1 << 16
-DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HTTP_TYPE = "application/http;msgtype=response"
-RECORD_ID = "urn:spanloom:page:"
+HTTP_TYPE, REQUEST_TYPE = "application/http;msgtype=response", "application/http;msgtype=request"
+#: Our own header fields: the page of a record, and the page whose response a revisit refers to.
+PAGE, REFERS_TO = "Spanloom-Page", "Spanloom-Refers-To-Page"
 
 
 class WarcError(ValueError):
@@ -49,16 +55,34 @@ def label(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
+def sha1_of(digest: str | None) -> bytes | None:
+    """The SHA-1 that a digest header gives in base 32 or as hex digits; null for other kinds."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return bytes.fromhex(value) if len(value) == 40 else base64.b32decode(value.upper())
+    except ValueError as e:
+        raise WarcError(f"not a digest: {digest!r}") from e
+
+
+def same_digest(header: str | None, sha1: bytes) -> bool:
+    """Whether a header agrees; one that is missing or of another kind is not checked."""
+    told = sha1_of(header)
+    return told is None or told == sha1
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, n_bytes: int, payload_sha1: bytes, refers_to: int | None = None, level: int = 6) -> bytes:
     """One gzip member.  For a revisit, payload is empty while n_bytes and payload_sha1 are those of the full payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block_sha1 = hashlib.sha1(http)
     block_sha1.update(payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD_ID}{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {datetime.now(UTC):%Y-%m-%dT%H:%M:%SZ}",
+        *([] if page_id is None else [f"{PAGE}: {page_id}"]),
         *([] if url is None else ["WARC-Target-URI: " + quote(url, safe="!#$%&'()*+,/:;=?@[]~")]),
         f"Content-Type: {HTTP_TYPE}", f"WARC-Payload-Digest: {label(payload_sha1)}", f"WARC-Block-Digest: {label(block_sha1.digest())}",
-        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD_ID}{refers_to}>"]),
+        *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"{REFERS_TO}: {refers_to}"]),
         f"Content-Length: {len(http) + len(payload)}",
     ]
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -113,12 +137,18 @@ class _Member:
 
 
 def fields(lines: list[str]) -> dict[str, str]:
-    out = {}
+    """Names in lower case; a line that begins with white space goes on with the value before it."""
+    out: dict[str, str] = {}
+    name = ""
     for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise WarcError(f"not a header line: {line[:80]!r}")
-        out[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        out[name] = value.strip()
     return out
 
 
@@ -131,9 +161,11 @@ def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[Record]:
         if not version.startswith("WARC/1."):
             raise WarcError(f"not a WARC record: {version[:20]!r}")
         r = Record(fields(lines))
+        if not r.headers.get("content-length", "").isdigit():
+            raise WarcError("record without a Content-Length")
         left = int(r.headers["content-length"])
         block, payload, kept, head = hashlib.sha1(), hashlib.sha1(), [], b""
-        is_http = r.headers.get("content-type", "").replace(" ", "") == HTTP_TYPE
+        is_http = r.headers.get("content-type", "").replace(" ", "").lower() in (HTTP_TYPE, REQUEST_TYPE) and left > 0
         in_head = is_http
         for part in m.take(left):
             block.update(part)
@@ -153,26 +185,32 @@ def read_records(stream: BinaryIO, payloads: bool = False) -> Iterator[Record]:
         if in_head:
             raise WarcError("block ends inside its HTTP header")
         r.payload_sha1 = payload.hexdigest()
-        if r.headers.get("warc-block-digest", label(block.digest())) != label(block.digest()):
+        if not same_digest(r.headers.get("warc-block-digest"), block.digest()):
             raise WarcError("block digest differs")
         if r.headers.get("warc-type") != "revisit":
-            if r.headers.get("warc-payload-digest", label(payload.digest())) != label(payload.digest()):
+            if not same_digest(r.headers.get("warc-payload-digest"), payload.digest()):
                 raise WarcError("payload digest differs")
-            if "content-length" in r.http and int(r.http["content-length"]) != r.payload_bytes:
+            # What was sent in pieces or packed may be stored unpacked, under the length that went over the wire.
+            as_sent = not {"transfer-encoding", "content-encoding"} & r.http.keys()
+            if r.headers.get("warc-type") == "response" and as_sent and r.http.get("content-length", "x").isdigit() and int(r.http["content-length"]) != r.payload_bytes and "warc-truncated" not in r.headers:
                 raise WarcError("HTTP Content-Length differs from the payload")
         r.payload = b"".join(kept) if payloads else None
         rest = m.raw
         yield r
 
 
-def page_of(urn: str | None) -> int | None:
-    text = (urn or "").strip("<>").removeprefix(RECORD_ID)
-    return int(text) if text.lstrip("-").isdigit() else None
+def number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
 
 
 def digest_rows(r: Record) -> dict:
-    sha1 = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-    return {"page_id": page_of(r.headers["warc-record-id"]), "url": r.headers.get("warc-target-uri"), "payload_bytes": int(r.http["content-length"]), "payload_digest": sha1, "record_type": r.headers["warc-type"], "refers_to": page_of(r.headers.get("warc-refers-to"))}
+    """A record as a row.  Of a revisit, length and digest are those it tells of the full payload; of all others those of what was read."""
+    told = sha1_of(r.headers.get("warc-payload-digest")) if r.headers.get("warc-type") == "revisit" else None
+    length = number(r.http.get("content-length")) if told else None
+    return {
+        "page_id": number(r.headers.get(PAGE.lower())), "url": r.headers.get("warc-target-uri"), "payload_bytes": r.payload_bytes if length is None else length, "payload_digest": told.hex() if told else r.payload_sha1,
+        "record_type": r.headers.get("warc-type"), "refers_to": number(r.headers.get(REFERS_TO.lower())),
+    }
 
 
 MANIFEST = "archive string, records long, bytes long"

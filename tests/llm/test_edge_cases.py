@@ -48,6 +48,19 @@ def test_quality_rules(spark):
     assert quality_rules.query(no_rows(spark)).count() == 0
 
 
+def test_quality_fences_change_little_by_little(spark):
+    """One document more never moves a small group's fences at once; a large group has its own, a tiny one nearly its language's."""
+    base = [(i, " ".join(f"w{(i * 7 + j) % 500}{'#' if (i + j) % 40 == 0 else ''}" for j in range(80)), "en", "big") for i in range(300)]
+    odd = [(1000 + i, " ".join(f"w{(i * 11 + j) % 700}{'##' if j % 3 == 0 else ''}" for j in range(80)), "en", "odd") for i in range(60)]
+    fence = []
+    for n in (1, 20, 49, 50, 51, 60):
+        out = quality_rules.judge(docs(spark, base + odd[:n])).where("source = 'odd'").agg(F.max("hi_symbol")).first()[0]
+        fence.append(out)
+    big = quality_rules.judge(docs(spark, base)).agg(F.max("hi_symbol")).first()[0]
+    assert fence == sorted(fence) and abs(fence[3] - fence[2]) < 0.03 * fence[3] and abs(fence[4] - fence[3]) < 0.03 * fence[3]
+    assert abs(fence[0] - big) < 0.2 * big and fence[-1] > 1.5 * big
+
+
 def test_quality_classifier(spark, labels):
     out = {r.doc_id: r for r in quality_mil.query(docs(spark), labels).collect()}
     assert out[3].score == out[4].score == out[5].score == 0.0 and all(0 <= r.score <= 1 for r in out.values())

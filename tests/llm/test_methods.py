@@ -223,6 +223,35 @@ def test_warc_round_trip():
     assert [r.payload_sha1 for r in warc.read_records(one_byte(whole))] == [r.payload_sha1 for r in got]
 
 
+def test_foreign_archives_are_read(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    def member(kind, block, *head):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *head, f"Content-Length: {len(block)}"]
+        return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = b"<p>hello</p>"
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nX-Folded: a\r\n  b\r\nContent-Length: 999\r\n\r\n"
+    whole = (
+        member("warcinfo", b"software: other\r\n", "Content-Type: application/warc-fields", "WARC-Filename: x\r\n y")
+        + member("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Target-URI: http://a/")
+        + member("response", http + body, "Content-Type: application/http; msgtype=response", "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{hashlib.sha1(body).hexdigest()}", "WARC-Block-Digest: md5:00")
+        + member("metadata", b"fetchTimeMs: 3\r\n", "Content-Type: application/warc-fields")
+        + member("resource", b"", "Content-Type: application/http; msgtype=response")
+    )
+    (tmp_path / "x.warc.gz").write_bytes(whole)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", 5, len(whole))], warc.MANIFEST)
+    got = {r.record_type: r for r in warc.read_archives(manifest).collect()}
+    assert set(got) == {"warcinfo", "request", "response", "metadata", "resource"}
+    assert (got["response"].payload_bytes, got["response"].payload_digest, got["response"].page_id) == (12, hashlib.sha1(body).hexdigest(), None)
+    assert got["warcinfo"].payload_bytes == 17 and got["request"].url == "http://a/"
+    r = next(warc.read_records(io.BytesIO(member("response", http + body, "Content-Type: application/http;msgtype=response"))))
+    assert r.http["x-folded"] == "a b"
+    with pytest.raises(warc.WarcError):
+        next(warc.read_records(io.BytesIO(member("resource", b"x", "WARC-Payload-Digest: sha1:" + "0" * 40))))
+
+
 def test_warc_errors():
     import gzip
     import zlib
