@@ -27,16 +27,19 @@ def clean_basic(c: Column) -> Column:
     return F.lower(F.regexp_replace(squeeze(c), "[\"']", ""))
 
 
+#: A letter, mark, digit or underscore of any script, as for \\b.
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+PROTECTED = rf"(?<!{_WORD})(?:[A-Z]{{2,}}|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?!{_WORD})"
+
+
 def clean_text(c: Column) -> Column:
     """Lower case without quotes, except that acronyms and runs of capitalised words stay as they are.
 
-    The text is cut into protected spans and the rest, so a protected word never changes its like inside another word; words are
-    of letters of any script, as for \\b."""
-    word = r"\p{L}\p{M}\p{N}_"
-    pieces = F.regexp_extract_all(squeeze(c), F.lit(rf"{ACRONYM}|{TITLE_RUN}|[{word}]+|[^{word}]+"), F.lit(0))
-    plain = lambda x: F.lower(F.regexp_replace(x, "[\"']", ""))
-    kept = F.transform(pieces, lambda x: F.when(x.rlike(f"^(?:{ACRONYM}|{TITLE_RUN})$"), x).otherwise(plain(x)))
-    return F.trim(F.array_join(kept, ""))
+    The text is cut at protected spans, so a protected word never changes its like inside another word."""
+    t = squeeze(c)
+    plain = lambda x: F.lower(F.translate(x, "\"'", ""))
+    pieces = F.zip_with(F.split(t, PROTECTED), F.regexp_extract_all(t, F.lit(PROTECTED), F.lit(0)), lambda gap, kept: F.concat(plain(gap), F.coalesce(kept, F.lit(""))))
+    return F.trim(F.array_join(pieces, ""))
 
 
 def acronyms(c: Column) -> Column:
@@ -66,11 +69,12 @@ def normalize_phrase(c: Column) -> Column:
     return F.array_join(F.transform(rest, lambda w: F.when(w.rlike("[A-Z]{2,}"), w).otherwise(F.lower(w))), " ")
 
 
-def strip_parens(c: Column, depth: int = 8) -> Column:
-    """Innermost parentheses become a space, `depth` times: more than titles nest."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"\([^()]*\)|（[^（）]*）", " ")
-    return c
+def strip_parens(c: Column) -> Column:
+    """Innermost parentheses become a space, as often as there are any: two rounds at once, more only for texts that nest deeper."""
+    pair = r"\([^()]*\)|（[^（）]*）"
+    c = F.regexp_replace(F.regexp_replace(c, pair, " "), pair, " ")
+    opens = F.length(c) - F.length(F.translate(c, "(（", ""))
+    return F.when(c.rlike(pair), F.aggregate(F.sequence(F.lit(1), opens), c, lambda a, _: F.regexp_replace(a, pair, " "))).otherwise(c)
 
 
 def ascii_title(c: Column) -> Column:
@@ -114,6 +118,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
+def subject_span(c: Column, subject: Column) -> Column:
+    """(start, end) of a squeezed subject in a text whatever its case; null if it is blank or not there."""
+    s = squeeze(subject)
+    at = F.call_function("instr", F.lower(c), F.lower(s))
+    return F.when((s != "") & (at > 0), F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(s)).cast("int").alias("end")))
+
+
 def mark_target(c: Column, start: Column, end: Column, mark: str = "[TGT]") -> Column:
     """The text with the span [start, end) between marks, and the span's new place."""
     before, target, after = F.substr(c, F.lit(1), start), F.substr(c, start + 1, end - start), F.substr(c, end + 1)

@@ -4,12 +4,18 @@ synsets: (synset, pos, definition, examples, lemmas); edges: (src, rel, dst, ord
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labels of parts of speech.  (fixed values)
 POS = {"n": "noun", "v": "verb", "a": "adjective", "s": "adjective satellite", "r": "adverb"}
-RELATIONS = "hypernyms instance_hypernyms hyponyms instance_hyponyms member_holonyms part_holonyms substance_holonyms member_meronyms part_meronyms substance_meronyms similar_tos".split()
+#: Relations of a synset's record, in order.  (fixed values)
+RELATIONS = "hypernyms hyponyms member_holonyms part_holonyms substance_holonyms member_meronyms part_meronyms substance_meronyms attributes entailments similar_tos".split()
+#: Beginnings that decide an article whatever the first letter, and endings that are no plural.  (fixed values)
+AN_WORDS, A_WORDS, VOWELS = "honest honor hour heir".split(), "one uni use user euro ufo".split(), "aeiou"
+NOT_PLURAL, NOT_PLURAL_WORDS = "ss us is".split(), ["news"]
 MOST_DEPTH = 64
 
 
@@ -17,6 +23,12 @@ def pos_label(c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in POS.items() for x in kv]), c), c)
 
 
+def check_word(word: str | None) -> str:
+    if word is None or not word.strip():
+        raise ValueError("a word to look up must not be blank")
+    return word.strip()
+
+
 def check_pos(pos: str | None) -> str | None:
     if pos is not None and pos not in POS:
         raise ValueError(f"part of speech must be one of {', '.join(POS)}")
@@ -45,12 +57,13 @@ def ensure_sentence(c: Column) -> Column:
 
 def article(word: Column) -> Column:
     w = F.lower(word)
-    return F.when(w.rlike("^(honest|honor|hour|heir)"), "An").when(w.rlike("^(one|uni|use|user|euro|ufo)"), "A").when(w.rlike("^[aeiou]"), "An").otherwise("A")
+    begins = lambda words: w.rlike(f"^({'|'.join(words)})")
+    return F.when(begins(AN_WORDS), "An").when(begins(A_WORDS), "A").when(begins(VOWELS), "An").otherwise("A")
 
 
 def definition_sentence(word: Column, pos: Column, gloss: Column) -> Column:
     last = F.lower(F.element_at(F.split(word, " "), -1))
-    plural = last.rlike("s$") & ~last.rlike("(ss|us|is)$") & (last != "news")
+    plural = last.rlike("s$") & ~last.rlike(f"({'|'.join(NOT_PLURAL)})$") & ~last.isin(NOT_PLURAL_WORDS)
     proper = word != F.lower(word)
     start = F.when(pos == "v", F.concat(F.lit("To "), word, F.lit(" is to"))).when(pos != "n", F.concat(word, F.lit(" means"))).when(plural, F.concat(word, F.lit(" are"))).when(proper, F.concat(word, F.lit(" is"))).otherwise(F.concat(article(word), F.lit(" "), word, F.lit(" is")))
     none = F.concat(word, F.lit(" has no WordNet definition."))
@@ -90,17 +103,46 @@ def related(synsets: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(d, "dst").groupBy(F.col("src").alias("synset"), "rel").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "item"))), lambda x: x["item"]).alias("items"))
 
 
+def details(words: DataFrame, lemmas: DataFrame, synsets: DataFrame, edges: DataFrame, pos: str | None = None, noun_only: bool = False, exact: bool = False) -> DataFrame:
+    """The full record of every synset of every word, in order: word, ord, synset, pos (label), definition, examples, lemmas, and a column of
+    "label - definition" items for each of RELATIONS (empty where there is none).
+
+    lemmas: (lemma, synset, ord); a word is found under the first of its spellings.  noun_only and exact filter as filter_synsets() does."""
+    check_pos(pos)
+    found = raw_synsets(words, lemmas).join(synsets, "synset")
+    if pos is not None:
+        found = found.where(F.col("pos").isin([pos, "s"] if pos == "a" else [pos]))
+    found = filter_synsets(found, F.col("word"), noun_only, exact)
+    items = related(synsets, edges).groupBy("synset").pivot("rel", RELATIONS).agg(F.first("items"))
+    none = F.array().cast("array<string>")
+    out = found.join(items, "synset", "left")
+    return out.select(
+        "word", "ord", "synset", pos_label(F.col("pos")).alias("pos"), F.when(F.trim(F.coalesce("definition", F.lit(""))) == "", "(none)").otherwise(F.col("definition")).alias("definition"),
+        F.coalesce("examples", none).alias("examples"), F.coalesce("lemmas", none).alias("lemmas"), *[F.coalesce(r, none).alias(r) for r in RELATIONS],
+    )
+
+
+def alias_text(c: Column, kind: str) -> Column:
+    """Aliases as one text: a list's values that are not null, by ", "; a text as it is; null: ''."""
+    return F.coalesce(F.array_join(c, ", ") if kind.startswith("array") else c.cast("string"), F.lit(""))
+
+
 def hypernym_paths(synsets: DataFrame, edges: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """synset, path: every way from a root down to each synset (a, b, ..., synset).  edges: (src, dst) to the hypernym.
-
-    A recursive query; a path that would repeat a node is not followed."""
-    spark = synsets.sparkSession
-    synsets.select("synset").createOrReplaceTempView("__spanloom_synsets")
-    edges.select("src", "dst").distinct().createOrReplaceTempView("__spanloom_edges")
-    return spark.sql(f"""WITH RECURSIVE walk(synset, top, path, n) MAX RECURSION LEVEL {depth} AS (
-        SELECT synset, synset, array(synset), 1 FROM __spanloom_synsets
-        UNION ALL SELECT w.synset, e.dst, concat(array(e.dst), w.path), n + 1 FROM walk w JOIN __spanloom_edges e ON w.top = e.src WHERE NOT array_contains(w.path, e.dst))
-        SELECT synset, path FROM walk WHERE top NOT IN (SELECT src FROM __spanloom_edges)""")
+    """synset, path: every way from a root down to each synset (a, b, ..., synset).  edges: (src, dst) to the hypernym; null ends count as none.
+
+    A recursive query; a path that would repeat a node is not followed.  A root is what is the src of no edge."""
+    spark, mark = synsets.sparkSession, uuid.uuid4().hex
+    own = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    views = {f"__spanloom_synsets_{mark}": synsets.select("synset"), f"__spanloom_edges_{mark}": own}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    walk = spark.sql(f"""WITH RECURSIVE walk(synset, top, path, n) MAX RECURSION LEVEL {depth} AS (
+        SELECT synset, synset, array(synset), 1 FROM __spanloom_synsets_{mark}
+        UNION ALL SELECT w.synset, e.dst, concat(array(e.dst), w.path), n + 1 FROM walk w JOIN __spanloom_edges_{mark} e ON w.top = e.src WHERE NOT array_contains(w.path, e.dst))
+        SELECT synset, top, path FROM walk""")
+    for name in views:
+        spark.catalog.dropTempView(name)
+    return walk.join(own.select(F.col("src").alias("top")), "top", "left_anti").select("synset", "path")
 
 
 def shorten(c: Column, most: int = 58) -> Column:

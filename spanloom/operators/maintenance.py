@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators import scoring
-
-
-def dense(df: DataFrame, key: str, new: str) -> DataFrame:
-    """Adds `new`: 0 to n - 1 in the order of key."""
-    return df.selectExpr(f"CAST(row_number() OVER (ORDER BY {key}) - 1 AS BIGINT) AS {new}", "*")
+from spanloom.operators.ids import dense
 
 
 def delete_documents(chunks: DataFrame, members: DataFrame, protos: DataFrame, terms: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
@@ -41,11 +37,19 @@ def multi_sense_terms(protos: DataFrame, members: DataFrame, least: int = 2) ->
     return protos.select("term_id", "proto_id").join(many, "term_id").join(count, "proto_id").select("term_id", "senses", "proto_id", "occurrences")
 
 
-def select_top(df: DataFrame, terms: int, senses: int) -> DataFrame:
-    """The first terms by senses, and the first prototypes of each by occurrences."""
-    best = df.select("term_id", "senses").distinct().orderBy(F.desc("senses"), "term_id").limit(terms)
-    ranked = df.join(best, ["term_id", "senses"], "left_semi").selectExpr("*", "row_number() OVER (PARTITION BY term_id ORDER BY occurrences DESC, proto_id) AS rank")
-    return ranked.where(F.col("rank") <= senses)
+def select_top(df: DataFrame, terms: int | None, senses: int | None, by: str = "senses", contains: str | None = None, name: str = "term_id") -> DataFrame:
+    """The first terms, and the first prototypes of each by occurrences (rank from 1).
+
+    by: `senses` (most first), `occurrences` (of all a term's prototypes, most first) or `name` (whatever its case).  contains: only terms whose
+    name holds this text whatever its case.  df: (term_id, senses, proto_id, occurrences) and the name column."""
+    if contains:
+        df = df.where(F.lower(F.col(name).cast("string")).contains(contains.lower()))
+    per = df.groupBy("term_id").agg(F.max("senses").alias("senses_"), F.sum("occurrences").alias("all_occurrences"), F.min(F.lower(F.col(name).cast("string"))).alias("name_"))
+    first = {"senses": F.desc("senses_"), "occurrences": F.desc("all_occurrences"), "name": F.col("name_")}[by]
+    ordered = per.orderBy(first, "term_id")
+    best = (ordered if terms is None else ordered.limit(terms)).select("term_id", "all_occurrences")
+    ranked = df.join(best, "term_id").selectExpr("*", "row_number() OVER (PARTITION BY term_id ORDER BY occurrences DESC, proto_id) AS rank")
+    return ranked if senses is None else ranked.where(F.col("rank") <= senses)
 
 
 def limit_examples(df: DataFrame, budget: int) -> DataFrame:

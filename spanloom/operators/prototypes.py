@@ -4,23 +4,27 @@ occurrences: (term_id long, chunk_id long, occ_id long, batch_ord long, embed ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import vectors as V
 from spanloom.operators import cluster, vectors
+from spanloom.operators.ids import dense
 
 BUFFER, PERCENTILE, TAU = 100, 0.9, 0.90
 
 
 def training_split(occurrences: DataFrame, buffer_size: int = BUFFER) -> DataFrame:
-    """Adds `trains`: true up to the end of the batch in which the term's count reaches buffer_size (always, if it never does).
+    """Adds `full` (whether the term reaches buffer_size) and `trains`: true up to the end of the batch in which the term's count reaches buffer_size (always, if it never does).
 
     Running counts are over (term, batch) totals, not over occurrences, so a hot term is combined before any window."""
     per = occurrences.groupBy("term_id", "batch_ord").agg(F.count("*").alias("n"))
     run = per.selectExpr("*", "sum(n) OVER (PARTITION BY term_id ORDER BY batch_ord) AS upto")
     full = run.where(F.col("upto") >= buffer_size).groupBy("term_id").agg(F.min("batch_ord").alias("full_at"))
-    return occurrences.join(full, "term_id", "left").withColumn("trains", F.coalesce(F.col("batch_ord") <= F.col("full_at"), F.lit(True))).drop("full_at")
+    o = occurrences.join(full, "term_id", "left")
+    return o.withColumns({"trains": F.coalesce(F.col("batch_ord") <= F.col("full_at"), F.lit(True)), "full": F.col("full_at").isNotNull()}).drop("full_at")
 
 
 def basic(occurrences: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
@@ -38,19 +42,34 @@ def is_semantic(protos: DataFrame, tau: float = TAU, df_ratio: float | None = No
 
 
 def senses(occurrences: DataFrame, percentile: float = PERCENTILE, min_cluster_size: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(prototypes, members): clusters of each term, or its basic prototype where it has none; noise goes to the nearest prototype."""
+    """(prototypes, members): clusters of each term, or its basic prototype where it has none; noise goes to the nearest prototype (anomaly)."""
     labelled = occurrences.join(cluster.clusters(occurrences, "term_id", "chunk_id", "embed", min_cluster_size), ["term_id", "occ_id"])
+    return from_labels(labelled, percentile)
+
+
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def from_labels(labelled: DataFrame, percentile: float = PERCENTILE, keep: Keep = as_it_is) -> tuple[DataFrame, DataFrame]:
+    """Prototypes and members of occurrences with a cluster (-1 noise); a term without any cluster has one basic prototype.
+
+    keep: writes a table that several steps read and gives it back (a TableSet's save); without one each step computes it again."""
     has = labelled.where("cluster >= 0").select("term_id").distinct().withColumn("split", F.lit(True))
-    labelled = labelled.join(has, "term_id", "left").withColumn("sense", F.when(F.col("split"), F.col("cluster")).otherwise(0))
+    labelled = keep(labelled.join(has, "term_id", "left").withColumn("sense", F.when(F.col("split"), F.col("cluster")).otherwise(0)))
     inside = labelled.where("sense >= 0").withColumn("key", F.struct("term_id", "sense"))
-    c = vectors.centres(inside, "key")
+    c = keep(vectors.centres(inside, "key"))
     thresholds = vectors.threshold(vectors.similarities(inside, c, "key"), "key", percentile)
-    protos = c.join(thresholds, "key").select("key.term_id", F.col("key.sense").cast("long").alias("sense"), "centre", "threshold")
-    protos = protos.selectExpr("row_number() OVER (ORDER BY term_id, sense) - 1 AS proto_id", "*")
+    protos = keep(c.join(thresholds, "key").select("key.term_id", F.col("key.sense").cast("long").alias("sense"), "centre", "threshold"))
+    named = dense(protos.select("term_id", "sense"), ["term_id", "sense"], "proto_id")  # narrow
+    protos = keep(named.join(protos, ["term_id", "sense"]))
     members = inside.select("term_id", "chunk_id", "occ_id", F.col("sense").cast("long").alias("sense")).join(protos.select("term_id", "sense", "proto_id"), ["term_id", "sense"]).drop("sense")
     noise = labelled.where("sense < 0").select("term_id", "chunk_id", "occ_id", "embed")
-    found = attach(noise, protos).select("term_id", "chunk_id", "occ_id", "proto_id")
-    return protos, members.select("term_id", "chunk_id", "occ_id", "proto_id").unionByName(found)
+    found = attach(noise, protos).select("term_id", "chunk_id", "occ_id", "proto_id", F.lit(True).alias("anomaly"))
+    return protos, members.select("term_id", "chunk_id", "occ_id", "proto_id", F.lit(False).alias("anomaly")).unionByName(found)
 
 
 def attach(occurrences: DataFrame, protos: DataFrame) -> DataFrame:
@@ -60,11 +79,39 @@ def attach(occurrences: DataFrame, protos: DataFrame) -> DataFrame:
     return best.join(protos.select("proto_id", "threshold"), "proto_id").withColumn("fits", F.col("sim") >= F.col("threshold"))
 
 
-def indexed(occurrences: DataFrame, buffer_size: int = BUFFER, percentile: float = PERCENTILE) -> tuple[DataFrame, DataFrame]:
-    """Several batches: (prototypes, members).  Prototypes come from the training part; later occurrences attach, those that do
-    not fit as anomalies, which finalisation gives to the nearest prototype all the same (column anomaly)."""
-    o = training_split(occurrences, buffer_size)
-    protos = basic(o.where("trains"), percentile).selectExpr("row_number() OVER (ORDER BY term_id) - 1 AS proto_id", "*")
-    trained = o.where("trains").join(protos.select("term_id", "proto_id"), "term_id").select("term_id", "chunk_id", "occ_id", "proto_id", F.lit(False).alias("anomaly"))
+def built(training: DataFrame, percentile: float = PERCENTILE, tau: float = TAU, min_cluster_size: int | None = None, keep: Keep = as_it_is) -> DataFrame:
+    """Training occurrences with a cluster: terms that have senses are clustered, all others (cluster -1) get a basic prototype.
+
+    training: (term_id, chunk_id, occ_id, embed), full (whether the buffer filled) and kind if there is one: a phrase is always clustered
+    when its buffer fills, a token only if its occurrences do not concentrate."""
+    is_token = F.col("kind") == "token" if "kind" in training.columns else F.lit(True)
+    full = training.where("full")
+    c = keep(vectors.centres(full, "term_id"))
+    conc = vectors.similarities(full.select("term_id", "embed"), c, "term_id").groupBy("term_id").agg(F.avg("sim").alias("concentration"))
+    wide = is_semantic(conc, tau).where("is_semantic").select("term_id", F.lit(True).alias("wide"))
+    t = training.join(keep(wide), "term_id", "left").withColumn("splits", F.col("full") & (~is_token | F.coalesce("wide", F.lit(False))))
+    found = cluster.clusters(t.where("splits"), "term_id", "chunk_id", "embed", min_cluster_size)
+    return t.drop("wide", "splits").join(keep(found), ["term_id", "occ_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+
+
+def indexed(occurrences: DataFrame, buffer_size: int = BUFFER, percentile: float = PERCENTILE, tau: float = TAU, min_cluster_size: int | None = None, keep: Keep = as_it_is) -> tuple[DataFrame, DataFrame]:
+    """Several batches: (prototypes, members).  Prototypes come from the training part, several where a full buffer has senses; later
+    occurrences attach; those that do not fit are anomalies, which finalisation gives to the nearest prototype all the same (column anomaly)."""
+    o = keep(training_split(occurrences, buffer_size))
+    protos, trained = from_labels(built(o.where("trains"), percentile, tau, min_cluster_size, keep), percentile, keep)
     later = attach(o.where("NOT trains"), protos).select("term_id", "chunk_id", "occ_id", "proto_id", (~F.col("fits")).alias("anomaly"))
     return protos, trained.unionByName(later)
+
+
+def settled(anomalies: DataFrame, protos: DataFrame, min_cluster_size: int = 10, percentile: float = PERCENTILE) -> tuple[DataFrame, DataFrame]:
+    """Anomalies gathered so far, clustered again: (new prototypes, members).  Each cluster is a new prototype, numbered after those there are;
+    what is left, and all of a term without clusters, goes to the nearest prototype, new or old."""
+    labelled = anomalies.join(cluster.clusters(anomalies, "term_id", "chunk_id", "embed", min_cluster_size), ["term_id", "occ_id"])
+    inside = labelled.where("cluster >= 0")
+    new, members = from_labels(inside, percentile)
+    base = protos.agg((F.coalesce(F.max("proto_id"), F.lit(-1)) + 1).alias("base"))
+    shift = lambda d: d.crossJoin(F.broadcast(base)).withColumn("proto_id", F.col("proto_id") + F.col("base")).drop("base")
+    new = shift(new)
+    both = protos.select("term_id", "proto_id", "centre", "threshold").unionByName(new.select("term_id", "proto_id", "centre", "threshold"))
+    rest = attach(labelled.where("cluster < 0").select("term_id", "chunk_id", "occ_id", "embed"), both).select("term_id", "chunk_id", "occ_id", "proto_id", F.lit(True).alias("anomaly"))
+    return new, shift(members).unionByName(rest)

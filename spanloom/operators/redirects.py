@@ -50,14 +50,21 @@ def synonyms(titles: DataFrame, redirects: DataFrame, canonicals: DataFrame, col
 
 
 def closure(redirects: DataFrame, hops: int = 10) -> DataFrame:
-    """redirect, canonical followed through chains of at most `hops`; cycles stop where they close.  An option beside the one-hop rule."""
-    out = redirects.select("redirect", "canonical")
-    step = redirects.select(F.col("redirect").alias("via"), F.col("canonical").alias("further"))
-    while hops > 1:  # each round doubles the hops
-        out = out.join(step, F.col("canonical") == F.col("via"), "left").select("redirect", F.when(F.col("further").isNull() | (F.col("further") == F.col("redirect")), F.col("canonical")).otherwise(F.col("further")).alias("canonical"))
-        step = out.select(F.col("redirect").alias("via"), F.col("canonical").alias("further"))
+    """redirect, canonical followed through chains of exactly up to `hops` steps (a cycle stops where the steps end).  An option beside the one-hop rule.
+
+    Steps of 1, 2, 4, ... are made by joining a step with itself, and those that add up to `hops` are taken one after the other."""
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        on = second.select(F.col("redirect").alias("via"), F.col("canonical").alias("further"))
+        return first.join(on, F.col("canonical") == F.col("via"), "left").select("redirect", F.coalesce("further", "canonical").alias("canonical"))
+
+    step, out = redirects.select("redirect", "canonical"), None
+    while hops > 0:
+        if hops % 2:
+            out = step if out is None else then(out, step)
         hops //= 2
-    return out
+        if hops:
+            step = then(step, step)
+    return redirects.select("redirect", F.col("redirect").alias("canonical")) if out is None else out
 
 
 def stats(kept: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ of it for regular expressions whose word boundaries differ between engines; redi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.functions import vectors as V
-from spanloom.operators import cluster, extractor, lexkg, maintenance, prototypes, redirects, retrieval, scoring, senses, spans, vectors
+from spanloom import engine
+from spanloom.operators import cluster, encoding, extractor, lexkg, maintenance, prototypes, redirects, retrieval, scoring, senses, spans, vectors
 from spanloom.sources import hotpot, sqldump, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +47,12 @@ class Tables:
 
     @property
     def protos(self) -> DataFrame:
-        return prototypes.basic(self.occurrences).withColumn("proto_id", F.col("term_id")).persist()  # an index: built once, read by several joins
+        return prototypes.basic(self.occurrences).withColumn("proto_id", F.col("term_id"))
+
+    @property
+    def kept_protos(self) -> DataFrame:
+        """An index: built once, read by several joins."""
+        return tables_of(self).save("protos", self.protos)
 
     @property
     def proto_scores(self) -> DataFrame:
@@ -95,6 +102,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def tables_of(t: Tables) -> store.TableSet:
+    """A place of a query's own for tables that its result reads."""
+    return store.TableSet(t.spark, f"{store.work_dir(t.spark)}/catalogue-{uuid.uuid4().hex}")
+
+
 def r6(c: str):
     return F.round(F.col(c), 6).alias(c)
 
@@ -165,10 +177,10 @@ def title_normalize(t: Tables) -> DataFrame:
     return n.select("p_partkey", "title", T.bucket_key(F.col("title")).alias("bucket"), T.should_keep_title(F.col("title")).alias("kept"))
 
 
-@query(f"WITH n AS (SELECT page_id, {_NORM.format(c='url')} AS title FROM pages WHERE url IS NOT NULL) SELECT {_BUCKET.format(c='title')} AS bucket, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY 1")
+@query(f"WITH n AS (SELECT {_NORM.format(c=_TITLE)} AS title FROM part) SELECT {_BUCKET.format(c='title')} AS bucket, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY 1")
 def title_bucket_sizes(t: Tables) -> DataFrame:
-    n = t.pages.where("url IS NOT NULL").select(T.ascii_title(F.col("url")).alias("title"))
-    return redirects.bucket_sizes(n.select(T.bucket_key(F.col("title")).alias("bucket")))
+    raw = F.concat(F.translate("p_name", " ", "_"), F.lit("_("), "p_brand", F.lit(" ("), "p_type", F.lit("))"))
+    return redirects.bucket_sizes(t.part.select(T.bucket_key(T.normalize_title(raw)).alias("bucket")))
 
 
 _SENTS = r"list_filter(list_transform(regexp_extract_all({c}, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')"
@@ -252,11 +264,11 @@ def avg_len(t: Tables) -> DataFrame:
     return scoring.corpus_stats(t.doc_lengths, "num_tokens").select("n_chunks", r6("avg_len"))
 
 
-_SCORED = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM ({_TERMS}) GROUP BY 1, 2), len AS ({_LENS}), st AS (SELECT count(*) AS n, avg(num_tokens) AS avg_len FROM len),
-    df AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tf, st GROUP BY term, n)"""
+_SCORED = f"""tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM ({_TERMS}) GROUP BY 1, 2), len AS MATERIALIZED ({_LENS}), st AS MATERIALIZED (SELECT count(*) AS n, avg(num_tokens) AS avg_len FROM len),
+    df AS MATERIALIZED (SELECT term, ln(((SELECT n FROM st) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY term)"""
 
 
-@query(f"WITH {_SCORED} SELECT tf.doc_id, tf.term, {_BM} AS bm25 FROM tf JOIN df ON tf.term = df.term JOIN len ON tf.doc_id = len.doc_id, st")
+@query(f"WITH {_SCORED} SELECT tf.doc_id, tf.term, {_BM.replace('avg_len', '(SELECT avg_len FROM st)')} AS bm25 FROM tf JOIN df ON tf.term = df.term JOIN len ON tf.doc_id = len.doc_id")
 def bm25_scores(t: Tables) -> DataFrame:
     tf = scoring.term_frequencies(t.doc_terms, "term", "doc_id")
     return scoring.bm25_scores(tf, "term", "doc_id", t.doc_lengths, "num_tokens").select("doc_id", "term", r6("bm25"))
@@ -328,13 +340,13 @@ def anomaly_threshold(t: Tables) -> DataFrame:
 def topk_prototypes(t: Tables) -> DataFrame:
     """The two best prototypes for a stated query set: every twentieth occurrence."""
     q = t.occurrences.where("occ_id % 20 = 0").select(F.col("occ_id").alias("q_id"), F.col("embed").alias("q_embed"))
-    return vectors.top(vectors.against(q, t.protos), ["q_id"], "proto_id", 2).select(F.col("q_id").alias("occ_id"), "proto_id", r6("sim"))
+    return vectors.top(vectors.against(q, t.protos, 2), ["q_id"], "proto_id", 2).select(F.col("q_id").alias("occ_id"), "proto_id", r6("sim"))
 
 
 @query(f"""WITH {_CENTRE} SELECT occ_id, arg_min(cen.term_id, -round(list_cosine_similarity(v, centre), 9)) AS proto_id, round(max(list_cosine_similarity(v, centre)), 6) AS sim FROM occ, cen WHERE occ_id % 20 = 0 GROUP BY 1""")
 def global_1nn(t: Tables) -> DataFrame:
     q = t.occurrences.where("occ_id % 20 = 0").select(F.col("occ_id").alias("q_id"), F.col("embed").alias("q_embed"))
-    return vectors.nearest(vectors.against(q, t.protos), ["q_id"], "proto_id").select(F.col("q_id").alias("occ_id"), "proto_id", r6("sim"))
+    return vectors.nearest(vectors.against(q, t.protos, 1), ["q_id"], "proto_id").select(F.col("q_id").alias("occ_id"), "proto_id", r6("sim"))
 
 
 @query(f"""WITH {_OCC}, per AS (SELECT term_id, batch_ord, count(*) AS n FROM occ GROUP BY 1, 2), run AS (SELECT *, sum(n) OVER (PARTITION BY term_id ORDER BY batch_ord) AS upto FROM per),
@@ -344,7 +356,7 @@ def global_1nn(t: Tables) -> DataFrame:
     SELECT o.occ_id, o.term_id, trains, CASE WHEN trains THEN false ELSE list_cosine_similarity(v, c) < t END AS anomaly FROM o JOIN cen ON o.term_id = cen.term_id JOIN th ON o.term_id = th.term_id""")
 def assign_or_anomaly(t: Tables) -> DataFrame:
     o = prototypes.training_split(t.occurrences, 20)
-    protos, members = prototypes.indexed(t.occurrences, 20)
+    protos, members = prototypes.indexed(t.occurrences, 20, tau=-1.0, keep=tables_of(t).keeper())  # below every concentration: one prototype a term
     return members.join(o.select("occ_id", "trains"), "occ_id").select("occ_id", "term_id", "trains", "anomaly")
 
 
@@ -428,16 +440,22 @@ for _f in (node_weights, chunk_weights, level_ranking, multi_level_query):
     whole(_f, " WHERE proto_id < 8")
 
 
-@query(f"""WITH {_OCC}, terms AS (SELECT term_id, 'term ' || CAST(term_id AS VARCHAR) AS term FROM occ GROUP BY 1)
-    SELECT CAST(term_id AS BIGINT) AS span, 'term ' || CAST(term_id AS VARCHAR) AS text, 'exact' AS how, CAST(term_id AS BIGINT) AS proto_id FROM terms WHERE term_id < 3 UNION ALL SELECT 100, 'term', 'fuzzy', -1 FROM range(2)""")
+@query(f"""WITH {_CENTRE}, q AS (SELECT term_id AS span, 'term ' || term_id AS text, centre AS v FROM cen UNION ALL SELECT 1000 + occ_id, 'term', v FROM occ WHERE occ_id % 20 = 0 UNION ALL SELECT 1000000 + occ_id, 'unknown', v FROM occ WHERE occ_id % 20 = 1),
+    p AS (SELECT q.span, q.text, cen.term_id AS proto_id, 'term ' || cen.term_id AS term, list_cosine_similarity(q.v, centre) AS sim FROM q CROSS JOIN cen),
+    n AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY round(sim, 9) DESC, proto_id) AS rank FROM p)
+    SELECT CAST(span AS BIGINT) AS span, text, 'exact' AS how, CAST(1 AS BIGINT) AS rank, proto_id, term, round(sim, 6) AS sim FROM p WHERE text = term
+    UNION ALL SELECT span, text, 'fuzzy', rank, proto_id, term, round(sim, 6) FROM n WHERE text = 'term' AND rank <= 2
+    UNION ALL SELECT span, text, 'semantic', rank, proto_id, term, round(sim, 6) FROM n WHERE text = 'unknown' AND rank = 1""")
 def resolve_matches(t: Tables) -> DataFrame:
-    """Spans of a query against the index: three known terms and one word that several phrases hold (two fuzzy matches, ids not compared)."""
-    protos = t.protos.select("proto_id", "term_id", "centre")
+    """Every term as a span (exact); a word that all phrases hold with every twentieth vector (two fuzzy matches); an unknown word with
+    others (one semantic match)."""
+    protos = t.kept_protos.select("proto_id", "term_id", "centre")
     terms = protos.select("term_id", F.expr("concat('term ', term_id)").alias("term"))
-    known = protos.where("term_id < 3").select(F.col("term_id").alias("span"), F.lit("phrase").alias("kind"), F.expr("concat('term ', term_id)").alias("text"), F.col("centre").alias("embed"))
-    word = protos.where("term_id = 4").select(F.lit(100).cast("long").alias("span"), F.lit("phrase").alias("kind"), F.lit("term").alias("text"), F.col("centre").alias("embed"))
-    m = retrieval.resolve(known.unionByName(word), terms, protos, retrieval.phrase_words(terms))
-    return m.select("span", "text", "how", F.when(F.col("how") == "exact", F.col("proto_id")).otherwise(-1).cast("long").alias("proto_id"))
+    known = protos.select(F.col("term_id").alias("span"), F.lit("phrase").alias("kind"), F.expr("concat('term ', term_id)").alias("text"), F.col("centre").alias("embed"))
+    word = t.occurrences.where("occ_id % 20 = 0").select((F.col("occ_id") + 1000).alias("span"), F.lit("phrase").alias("kind"), F.lit("term").alias("text"), "embed")
+    other = t.occurrences.where("occ_id % 20 = 1").select((F.col("occ_id") + 1_000_000).alias("span"), F.lit("phrase").alias("kind"), F.lit("unknown").alias("text"), "embed")
+    m = retrieval.resolve(known.unionByName(word).unionByName(other), terms, protos, retrieval.phrase_words(terms))
+    return m.select("span", "text", "how", F.col("rank").cast("long").alias("rank"), F.col("proto_id").cast("long").alias("proto_id"), "term", r6("sim"))
 
 
 @query(f"""WITH {_OCC}, o AS (SELECT * FROM occ WHERE chunk_id % 10 <> 3), ch AS (SELECT chunk_id, count(*) AS num_tokens FROM o GROUP BY 1), st AS (SELECT count(*) AS n, avg(num_tokens) AS avg_len FROM ch), tf AS (SELECT term_id AS proto_id, chunk_id, count(*) AS tf FROM o GROUP BY 1, 2),
@@ -603,6 +621,15 @@ def lexical_overlap(t: Tables) -> DataFrame:
     return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {_OVER.format(c='text')} AS x FROM documents), b AS (SELECT item_id, {_OVER.format(c='text')} AS y FROM benchmark),
+    p AS (SELECT doc_id, item_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS shared FROM d CROSS JOIN b)
+    SELECT doc_id, item_id, round(shared / (nx + ny - shared), 6) AS overlap FROM p WHERE shared > 0""")
+def lexical_overlap_all(t: Tables) -> DataFrame:
+    """All documents with all items, by the terms they share; pairs that share none are left out."""
+    d, b = (x.select(i, T.overlap_terms(F.col("text")).alias("terms")) for x, i in ((t.documents, "doc_id"), (t.benchmark, "item_id")))
+    return senses.overlaps(d, "doc_id", b, "item_id").withColumn("overlap", F.round("overlap", 6))
+
+
 # Lexical graph
 
 
@@ -615,10 +642,11 @@ def synset_summary(t: Tables) -> DataFrame:
     return s.select("n_nationkey", lexkg.summary(s, {"Lemmas": "lemmas"}).alias("summary"))
 
 
-@query("SELECT lower(n_name) || '.n.01' AS synset FROM nation WHERE n_nationkey % 2 = 0 AND lower(n_name) = 'algeria'")
+@query("SELECT lower(n_name) || '.n.01' AS synset FROM nation WHERE n_nationkey % 2 = 0 AND lower(n_name) = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 4)")
 def synset_filter(t: Tables) -> DataFrame:
     s = t.nation.selectExpr("concat(lower(replace(n_name, ' ', '_')), '.n.01') AS synset", "CASE WHEN n_nationkey % 2 = 0 THEN 'n' ELSE 'v' END AS pos", "array(n_name) AS lemmas")
-    return lexkg.filter_synsets(s, F.lit("Algeria"), noun_only=True, exact=True).select("synset")
+    word = t.nation.where("n_nationkey = 4").select(F.initcap("n_name").alias("word"))
+    return lexkg.filter_synsets(s.crossJoin(F.broadcast(word)), F.col("word"), noun_only=True, exact=True).select("synset")  # one row
 
 
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS pos, n_name AS x FROM nation WHERE n_regionkey = 0 QUALIFY pos <= 10), b AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS pos, r_name AS y FROM region QUALIFY pos <= 3)
@@ -707,9 +735,162 @@ def mrr_at_k(t: Tables) -> DataFrame:
     return senses.reciprocal_rank(ranked, gold).select("q_id", r6("rr"))
 
 
+# The engine end to end
+
+
+_TOKEN = "[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*"
+_VALID = rf"NOT list_contains([{_STOP}], lower(w)) AND NOT regexp_full_match(w, '\d+(\.\d+)?') AND length(w) >= 2 AND NOT (length(w) <= 2 AND w = lower(w) AND regexp_matches(w, '[a-z]'))"
+_BUILT = f"""d AS (SELECT doc_id, lower(regexp_replace({SQUEEZED}, '["'']', '', 'g')) AS text FROM documents), s AS MATERIALIZED (SELECT doc_id, {_SENTS.format(c="text")} AS s FROM d),
+    g(doc_id, i, chunk, n) AS (SELECT doc_id, 1, 1, len(string_split(s[1], ' ')) FROM s WHERE len(s) > 0
+      UNION ALL SELECT g.doc_id, i + 1, CASE WHEN n + len(string_split(s[i + 1], ' ')) > 300 THEN chunk + 1 ELSE chunk END, CASE WHEN n + len(string_split(s[i + 1], ' ')) > 300 THEN 0 ELSE n END + len(string_split(s[i + 1], ' '))
+      FROM g JOIN s ON g.doc_id = s.doc_id WHERE i < len(s)),
+    c AS (SELECT g.doc_id, chunk, string_agg(s[i], ' ' ORDER BY i) AS text FROM g JOIN s ON g.doc_id = s.doc_id GROUP BY 1, 2),
+    ch AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, chunk) - 1 AS chunk_id, doc_id, regexp_extract_all(text, '{_TOKEN}') AS toks FROM c),
+    st AS MATERIALIZED (SELECT count(*) AS n, avg(len(toks)) AS avg_len FROM ch),
+    tf AS MATERIALIZED (SELECT term, chunk_id, num_tokens, count(*) AS tf FROM (SELECT chunk_id, len(toks) AS num_tokens, unnest(list_filter(toks, lambda w: {_VALID})) AS term FROM ch) GROUP BY ALL),
+    df AS MATERIALIZED (SELECT term, count(*) AS df, ln(((SELECT n FROM st) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1),
+    bm AS MATERIALIZED (SELECT tf.term, chunk_id, tf, df, idf, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * num_tokens / (SELECT avg_len FROM st))) AS bm25 FROM tf JOIN df ON tf.term = df.term)"""
+
+
+def plain_words(df: DataFrame, col: str) -> DataFrame:
+    """An annotator that finds words only."""
+    none = F.array().cast("array<struct<s:int,e:int,text:string>>")
+    return df.withColumns({"ents": none, "chunks": none, "toks": spans.located(F.col(col), spans.TOKEN)})
+
+
+def built_index(t: Tables, **options) -> engine.Index:
+    """An index of all documents by plain words, with one prototype a term."""
+    return engine.index(t.documents, tables_of(t), plain_words, clean=T.clean_basic, **({"buffer_size": 1 << 60} | options))
+
+
+@query(f"WITH RECURSIVE {_BUILT} SELECT term, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf, round(bm25, 6) AS bm25 FROM bm")
+def index_build(t: Tables) -> DataFrame:
+    """Documents to chunks, terms, prototypes and scores: every term's score in every chunk."""
+    ix = built_index(t)
+    named = ix.terms.select("term_id", "term", F.col("df").alias("term_df"), F.col("idf").alias("term_idf")).join(ix.protos.select("proto_id", "term_id"), "term_id")
+    return ix.scores.select("proto_id", "chunk_id", "tf", "bm25").join(named, "proto_id").select("term", "chunk_id", "tf", F.col("term_df").alias("df"), F.round("term_idf", 6).alias("idf"), r6("bm25"))
+
+
+_BYTES = "list_transform(range(0, 16), lambda j: ('0x' || substr(md5({w}), 2 * CAST(j AS INT) + 1, 2))::INT / 127.5 - 1)"
+_NEXT = "list_transform(range(1, 17), lambda j: v[j] + 0.25 * coalesce(l[j], 0) + 0.25 * coalesce(r[j], 0))"
+
+
+@query(f"""WITH RECURSIVE {_BUILT}, w AS MATERIALIZED (SELECT w, {_BYTES.format(w='w')} AS v FROM (SELECT DISTINCT unnest(toks) AS w FROM ch)),
+    o AS (SELECT chunk_id, unnest(toks) AS w, unnest(range(0, len(toks))) AS i FROM ch), ov AS MATERIALIZED (SELECT chunk_id, i, o.w, v FROM o JOIN w ON o.w = w.w),
+    ctx AS (SELECT w, {_NEXT} AS v FROM (SELECT chunk_id, i, w, v, lag(v) OVER x AS l, lead(v) OVER x AS r FROM ov WINDOW x AS (PARTITION BY chunk_id ORDER BY i)) WHERE {_VALID}),
+    mean AS (SELECT w, j, avg(x) AS x FROM (SELECT w, unnest(list_transform(v, lambda a: a / sqrt(list_dot_product(v, v)))) AS x, unnest(range(0, 16)) AS j FROM ctx) GROUP BY 1, 2),
+    cen AS MATERIALIZED (SELECT w AS term, list(x ORDER BY j) AS c FROM mean GROUP BY 1),
+    q0 AS (SELECT regexp_extract_all(lower(regexp_replace({SQUEEZED}, '["'']', '', 'g')) || ' zzqx qqzy', '{_TOKEN}') AS toks FROM benchmark WHERE item_id = 0),
+    q1 AS (SELECT unnest(toks) AS w, unnest(range(0, len(toks))) AS i FROM q0), q2 AS (SELECT w, i, {_BYTES.format(w='w')} AS v FROM q1),
+    q3 AS (SELECT row_number() OVER (ORDER BY i) AS span, w, v FROM (SELECT w, i, {_NEXT} AS v FROM (SELECT w, i, v, lag(v) OVER (ORDER BY i) AS l, lead(v) OVER (ORDER BY i) AS r FROM q2)) WHERE {_VALID}),
+    sem AS (SELECT span, arg_min(cen.term, struct_pack(a := -round(list_cosine_similarity(v, c), 9), b := cen.term)) AS term FROM q3 CROSS JOIN cen WHERE w NOT IN (SELECT term FROM cen) GROUP BY 1),
+    nodes AS MATERIALIZED (SELECT span AS node, coalesce(sem.term, w) AS term, CASE WHEN sem.term IS NULL THEN 1 ELSE 3 END AS level FROM q3 LEFT JOIN sem USING (span)),
+    mem AS MATERIALIZED (SELECT node, chunk_id FROM nodes JOIN bm ON nodes.term = bm.term), kk AS (SELECT node, count(*) AS k FROM mem GROUP BY 1),
+    e AS (SELECT x.node AS a, y.node AS b, count(*) / sqrt(CAST(any_value(p.k) * any_value(q.k) AS DOUBLE)) AS w FROM mem x JOIN mem y ON x.chunk_id = y.chunk_id AND x.node < y.node JOIN kk p ON x.node = p.node JOIN kk q ON y.node = q.node GROUP BY 1, 2),
+    nw AS (SELECT n.node, n.term, sum(w * [1.2, 1.0, 0.8, 0.5][level + 1]) AS weight FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) z JOIN nodes n ON z.node = n.node GROUP BY ALL),
+    cw AS (SELECT chunk_id, sum(weight * bm25) AS weight FROM (SELECT bm.chunk_id, weight, bm25 FROM nw JOIN bm ON nw.term = bm.term QUALIFY row_number() OVER (PARTITION BY bm.chunk_id, nw.term ORDER BY node) = 1) GROUP BY 1),
+    lr AS (SELECT level, chunk_id, row_number() OVER (PARTITION BY level ORDER BY round(score, 9) DESC, chunk_id) AS pos FROM (SELECT level, bm.chunk_id, sum(bm25) AS score FROM nodes JOIN bm ON nodes.term = bm.term GROUP BY 1, 2)),
+    con AS MATERIALIZED (SELECT chunk_id, row_number() OVER (ORDER BY round(weight, 9) DESC, chunk_id) AS ord FROM cw QUALIFY ord <= 8), nc AS (SELECT count(*) AS n FROM con),
+    iso AS (SELECT chunk_id, row_number() OVER (ORDER BY level, pos) AS ord FROM lr WHERE chunk_id NOT IN (SELECT chunk_id FROM con)),
+    a AS (SELECT ord, chunk_id, 'connected' AS part FROM con UNION ALL SELECT n + ord, chunk_id, 'isolated' FROM iso CROSS JOIN nc WHERE ord <= CASE WHEN n < 8 THEN 10 - n ELSE 2 END)
+    SELECT CAST(ord AS BIGINT) AS ord, a.chunk_id, part, doc_id FROM a JOIN ch ON a.chunk_id = ch.chunk_id""")
+def multi_level_text(t: Tables) -> DataFrame:
+    """The flagship from text: a benchmark item and two unknown words against an index of all documents."""
+    text = t.benchmark.where("item_id = 0").first().text + " zzqx qqzy"
+    got = engine.query(built_index(t), text, annotate=plain_words, clean=T.clean_basic)
+    return got.select(F.col("ord").cast("long").alias("ord"), "chunk_id", "part", "doc_id")
+
+
+@query()
+def sense_index(t: Tables) -> DataFrame:
+    """Prototypes of terms whose buffers filled: clustered where the occurrences do not concentrate, one otherwise (tests compare with NumPy)."""
+    protos, members = prototypes.indexed(t.occurrences, 20, keep=tables_of(t).keeper())
+    return members.select("occ_id", "term_id", "proto_id", "anomaly")
+
+
+@query("""WITH m AS (SELECT CAST(label AS BIGINT) AS term_id, label * 3 + CASE WHEN label % 3 = 1 THEN 0 ELSE vec_id % 3 END AS proto_id, vec_id % 50 AS chunk_id FROM embeddings), n AS (SELECT count(DISTINCT chunk_id) AS n FROM m)
+    SELECT term_id, CAST(count(DISTINCT chunk_id) AS BIGINT) AS df, round(ln(((SELECT n FROM n) + 1) / (count(DISTINCT chunk_id) + 1)) + 1, 6) AS idf FROM m GROUP BY 1""")
+def term_level_idf(t: Tables) -> DataFrame:
+    """A term's chunks over all its prototypes."""
+    return scoring.document_frequencies(sense_rows(t).select("term_id", "chunk_id").distinct(), "term_id", "chunk_id", scoring.corpus_stats(t.chunks, "num_tokens")).select("term_id", "df", r6("idf"))
+
+
+@query(f"""WITH {_CENTRE}, r AS (SELECT *, row_number() OVER (PARTITION BY term_id, chunk_id ORDER BY sim DESC) AS k FROM sim) SELECT term_id AS proto_id, chunk_id, round(avg(sim), 6) AS sim FROM r WHERE k <= 3 GROUP BY 1, 2""")
+def combined_sims(t: Tables) -> DataFrame:
+    s = vectors.similarities(t.occurrences, vectors.centres(t.occurrences, "term_id"), "term_id").withColumnRenamed("term_id", "proto_id")
+    return vectors.combined_similarity(s).select("proto_id", "chunk_id", r6("sim"))
+
+
+@query(f"""WITH {_MULTI}, b AS (SELECT term_id FROM j WHERE contains(CAST(term_id AS VARCHAR), '2') OR contains(CAST(term_id AS VARCHAR), '3') GROUP BY 1 ORDER BY sum(occurrences) DESC, term_id LIMIT 3)
+    SELECT term_id, proto_id, CAST(row_number() OVER (PARTITION BY term_id ORDER BY occurrences DESC, proto_id) AS BIGINT) AS rank FROM j WHERE term_id IN (SELECT term_id FROM b)
+    UNION ALL SELECT term_id, proto_id, CAST(row_number() OVER (PARTITION BY term_id ORDER BY occurrences DESC, proto_id) AS BIGINT) FROM j WHERE term_id IN (SELECT DISTINCT term_id FROM j ORDER BY lower(CAST(term_id AS VARCHAR)), term_id LIMIT 2)""")
+def select_by_other_keys(t: Tables) -> DataFrame:
+    """The three terms with most occurrences among those whose name holds 2 or 3; the first two by name."""
+    made = made_senses(t)
+    held = maintenance.select_top(made.where("contains(term_id, '2') OR contains(term_id, '3')"), 3, None, by="occurrences")
+    return held.unionByName(maintenance.select_top(made, 2, None, by="name")).select("term_id", "proto_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT n_nationkey, lower(n_name) || '.n.01' AS synset, 'noun' AS pos, CASE WHEN n_nationkey % 4 = 0 THEN '(none)' ELSE 'a nation' END AS definition, n_name AS lemmas, lower(r_name) || ' - a region' AS hypernyms,
+    CASE WHEN n_nationkey % 2 = 0 THEN replace(lower(n_name), '_', ' ') || ' - a nation of its own' ELSE '' END AS attributes FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def synset_details(t: Tables) -> DataFrame:
+    """The record of every nation, looked up by its name with other spelling, with its region and, for every other one, an attribute."""
+    synsets = t.nation.selectExpr("concat(lower(n_name), '.n.01') AS synset", "'n' AS pos", "CASE WHEN n_nationkey % 4 <> 0 THEN 'a nation' ELSE ' ' END AS definition", "CAST(NULL AS ARRAY<STRING>) AS examples", "array(n_name) AS lemmas")
+    regions = t.region.selectExpr("concat(lower(r_name), '.n.01') AS synset", "'n' AS pos", "'a region' AS definition", "CAST(NULL AS ARRAY<STRING>) AS examples", "array(r_name) AS lemmas")
+    own = t.nation.where("n_nationkey % 2 = 0").selectExpr("concat(lower(n_name), '.a.01') AS synset", "'a' AS pos", "'a nation of its own' AS definition", "CAST(NULL AS ARRAY<STRING>) AS examples", "array(n_name) AS lemmas")
+    e = t.nation.join(F.broadcast(t.region), F.expr("n_regionkey = r_regionkey")).selectExpr("concat(lower(n_name), '.n.01') AS src", "'hypernyms' AS rel", "concat(lower(r_name), '.n.01') AS dst", "0 AS ord")
+    e = e.union(t.nation.where("n_nationkey % 2 = 0").selectExpr("concat(lower(n_name), '.n.01')", "'attributes'", "concat(lower(n_name), '.a.01')", "0"))
+    lemmas = t.nation.selectExpr("lower(n_name) AS lemma", "concat(lower(n_name), '.n.01') AS synset", "0 AS ord")
+    words = t.nation.select(F.translate("n_name", "_", " ").alias("word"))
+    d = lexkg.details(words, lemmas, synsets.union(regions).union(own), e, pos="n", noun_only=True, exact=True)
+    n = t.nation.select("n_nationkey", F.concat(F.lower("n_name"), F.lit(".n.01")).alias("synset"))
+    return d.join(n, "synset").select("n_nationkey", "synset", "pos", "definition", *joined("lemmas", "hypernyms", "attributes"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_distinct_ordered, '|') AS forms FROM (SELECT p_partkey, [x, replace(x, '_', ' '), replace(x, ' ', '_')] AS f, list_filter([x, replace(x, ' ', '_'), lower(x), lower(replace(x, ' ', '_'))], lambda z: true) AS l,
+    CASE WHEN lower(x) = x THEN [x, replace(x, ' ', '_')] ELSE [x, replace(x, ' ', '_'), lower(x), lower(replace(x, ' ', '_'))] END AS list_distinct_ordered FROM (SELECT p_partkey, trim(CASE WHEN p_partkey % 2 = 0 THEN ' ' || p_name || ' x' ELSE upper(p_name) || ' X ' END) AS x FROM part))""")
+def lookup_spellings(t: Tables) -> DataFrame:
+    """Spellings of names of two words and more, each once, in order."""
+    w = F.expr("CASE WHEN p_partkey % 2 = 0 THEN concat(' ', p_name, ' x') ELSE concat(upper(p_name), ' X ') END")
+    return t.part.select("p_partkey", lexkg.lookup_variants(w).alias("forms")).select("p_partkey", *joined("forms"))
+
+
+_UNIT = "list_transform({v}, lambda a: a / sqrt(list_dot_product({v}, {v})))"
+
+
+@query(f"""WITH {_OCC}, u AS (SELECT chunk_id, occ_id, v, {_UNIT.format(v='v')} AS n FROM occ),
+    s AS (SELECT q.chunk_id, q.occ_id, q.n AS qn, k.v AS kv, list_dot_product(q.n, k.n) / sqrt(CAST(len(q.v) AS DOUBLE)) AS s FROM u q JOIN u k ON k.chunk_id = q.chunk_id + 1),
+    w AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY occ_id) AS w FROM s),
+    e AS (SELECT chunk_id, occ_id, any_value(qn) AS qn, j, sum(w * x) AS x FROM (SELECT chunk_id, occ_id, qn, w, unnest(kv) AS x, unnest(range(0, len(kv))) AS j FROM w) GROUP BY chunk_id, occ_id, j),
+    a AS (SELECT chunk_id, list_cosine_similarity(any_value(qn), list(x ORDER BY j)) AS c FROM e GROUP BY chunk_id, occ_id)
+    SELECT o.chunk_id, coalesce(round(avg(c), 6), 0.0) AS score FROM (SELECT DISTINCT chunk_id FROM occ) o LEFT JOIN a ON o.chunk_id = a.chunk_id GROUP BY 1""")
+def cross_attention_align(t: Tables) -> DataFrame:
+    """Chunks against the next chunk's vectors."""
+    g = t.occurrences.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("occ_id", "embed"))), lambda x: x["embed"]).alias("vs"))  # one text's vectors
+    other = g.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("vs").alias("ks"))
+    return g.join(other, "chunk_id", "left").select("chunk_id", F.round(vectors.attention_alignment(F.col("vs"), F.col("ks")), 6).alias("score"))
+
+
+@query(f"""WITH {_OCC}, m AS (SELECT chunk_id, list(x ORDER BY i) AS mean FROM (SELECT chunk_id, i, avg(x) AS x FROM (SELECT chunk_id, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM occ) GROUP BY 1, 2) GROUP BY 1)
+    SELECT occ.chunk_id, occ_id AS pos, round(list_cosine_similarity(v, mean), 6) AS salience FROM occ JOIN m ON occ.chunk_id = m.chunk_id""")
+def token_salience(t: Tables) -> DataFrame:
+    s = vectors.salience(t.occurrences.select("chunk_id", F.col("occ_id").alias("pos"), "embed"), "chunk_id")
+    return s.select("chunk_id", "pos", r6("salience"))
+
+
 # Without an oracle: held against brute force in tests
 
 
+@query()
+def sense_scores(t: Tables) -> DataFrame:
+    """Every conversation turn as a context of its first word, with three candidate senses, by the four features over vectors of its text."""
+    words = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("context_id"), "text", F.regexp_extract("text", r"[A-Za-z]{2,}", 0).alias("word")).where("word <> ''")
+    contexts = words.select("context_id", "word", "text", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    made = words.select("word").distinct().select("word", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("ord"))
+    c = made.select("word", "ord", F.concat_ws(".", F.lower("word"), F.lit("n"), "ord").alias("sense_id"), F.element_at(F.array(F.concat(F.lit("a thing called "), F.lower("word")), F.lit("the act of doing it with others"), F.concat_ws(" ", F.lit("one who is"), "word", F.lit("and not that"))), F.col("ord")).alias("profile"))
+    return senses.score(senses.features(contexts, c, encoding.HashEncoder())).select("context_id", "sense_id", *[r6(k) for k in senses.WEIGHTS], r6("score"))
+
+
 @query()
 def hdbscan_prototypes(t: Tables) -> DataFrame:
     return cluster.clusters(t.occurrences, "term_id", "chunk_id", "embed", merge_chunks=True)
@@ -726,20 +907,6 @@ def pca_coords(t: Tables) -> DataFrame:
     return out.select("vec_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-@query()
-def cross_attention_align(t: Tables) -> DataFrame:
-    """Chunks against the next chunk's vectors."""
-    g = t.occurrences.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("occ_id", "embed"))), lambda x: x["embed"]).alias("vs"))
-    other = g.select((F.col("chunk_id") - 1).alias("chunk_id"), F.col("vs").alias("ks"))
-    return g.join(other, "chunk_id", "left").select("chunk_id", vectors.attention_alignment(F.col("vs"), F.col("ks")).alias("score"))
-
-
-@query()
-def token_salience(t: Tables) -> DataFrame:
-    s = vectors.salience(t.occurrences.select("chunk_id", F.col("occ_id").alias("pos"), "embed"), "chunk_id")
-    return s.select("chunk_id", "pos", r6("salience"))
-
-
 @query()
 def extracted_spans(t: Tables) -> DataFrame:
     """Index-side spans of all documents by the default annotator."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.operators import ids
+
 SCHEMA = "_id string, question string, answer string, supporting_facts array<array<string>>, context array<array<string>>"
 
 
@@ -21,16 +23,19 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
 def documents(entries: DataFrame) -> DataFrame:
     """doc_id, title, text: one row a title, the longest trimmed text (the first of equals), ids dense by first appearance.
 
-    entries: (seq, title, text)."""
-    t = entries.withColumn("text", F.trim("text"))
-    best = t.groupBy("title").agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("seq")).alias("back"), "text")).alias("m"), F.min("seq").alias("first"))
-    return best.selectExpr("CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS doc_id", "title", "m.text AS text")
+    entries: (seq, title, text), and pos where several share a seq.  Numbers are made of the narrow (title, first)."""
+    e = entries if "pos" in entries.columns else entries.withColumn("pos", F.lit(0))
+    t = e.select("seq", F.col("pos").cast("long").alias("pos"), "title", F.trim("text").alias("text"))
+    best = t.groupBy("title").agg(F.max(F.struct(F.length("text").alias("n"), (-F.col("seq")).alias("back"), (-F.col("pos")).alias("back2"), "text")).alias("m"))
+    first = t.groupBy("title").agg(F.min(F.struct("seq", "pos")).alias("f")).select("title", F.col("f.seq").alias("seq"), F.col("f.pos").alias("pos"))
+    named = ids.dense(first, ["seq", "pos", "title"], "doc_id").select("doc_id", "title")
+    return named.join(best.select("title", "m.text"), "title").select("doc_id", "title", "text")
 
 
 def retrieval_set(samples_: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, questions with gold_doc_ids) of the first n samples; unknown titles are dropped."""
     s = samples_.orderBy("seq").limit(n) if n else samples_
-    entries = s.select("seq", F.posexplode("documents").alias("pos", "d")).select((F.col("seq") * 1000 + F.col("pos")).alias("seq"), "d.title", "d.text")
+    entries = s.select("seq", F.posexplode("documents").alias("pos", "d")).select("seq", "pos", "d.title", "d.text")
     docs = documents(entries)
     gold = s.select("id", F.explode("supporting.title").alias("title")).distinct().join(docs.select("doc_id", "title"), "title").groupBy("id").agg(F.sort_array(F.collect_set("doc_id")).alias("gold_doc_ids"))
     return docs, s.select("id", "question", "answer").join(gold, "id", "left")
