@@ -4,6 +4,7 @@ occurrences: (term_id long, chunk_id long, occ_id long, batch_ord long, embed ar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import vectors as V
 from spanloom.operators import cluster, vectors
 from spanloom.operators.ids import dense
+from spanloom.sources import store
 
 BUFFER, PERCENTILE, TAU = 100, 0.9, 0.90
 
@@ -50,14 +52,17 @@ def senses(occurrences: DataFrame, percentile: float = PERCENTILE, min_cluster_s
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def as_it_is(df: DataFrame) -> DataFrame:
-    return df
+def keep_or(keep: Keep | None, df: DataFrame) -> Keep:
+    """keep, or a writer into a folder of the shared store: what several steps read is never computed again."""
+    spark = df.sparkSession
+    return keep or store.TableSet(spark, f"{store.work_dir(spark)}/steps-{uuid.uuid4().hex}").keeper()
 
 
-def from_labels(labelled: DataFrame, percentile: float = PERCENTILE, keep: Keep = as_it_is) -> tuple[DataFrame, DataFrame]:
+def from_labels(labelled: DataFrame, percentile: float = PERCENTILE, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """Prototypes and members of occurrences with a cluster (-1 noise); a term without any cluster has one basic prototype.
 
-    keep: writes a table that several steps read and gives it back (a TableSet's save); without one each step computes it again."""
+    keep: writes a table that several steps read and gives it back (a TableSet's keeper()); the result reads such tables."""
+    keep = keep_or(keep, labelled)
     has = labelled.where("cluster >= 0").select("term_id").distinct().withColumn("split", F.lit(True))
     labelled = keep(labelled.join(has, "term_id", "left").withColumn("sense", F.when(F.col("split"), F.col("cluster")).otherwise(0)))
     inside = labelled.where("sense >= 0").withColumn("key", F.struct("term_id", "sense"))
@@ -79,11 +84,12 @@ def attach(occurrences: DataFrame, protos: DataFrame) -> DataFrame:
     return best.join(protos.select("proto_id", "threshold"), "proto_id").withColumn("fits", F.col("sim") >= F.col("threshold"))
 
 
-def built(training: DataFrame, percentile: float = PERCENTILE, tau: float = TAU, min_cluster_size: int | None = None, keep: Keep = as_it_is) -> DataFrame:
+def built(training: DataFrame, percentile: float = PERCENTILE, tau: float = TAU, min_cluster_size: int | None = None, keep: Keep | None = None) -> DataFrame:
     """Training occurrences with a cluster: terms that have senses are clustered, all others (cluster -1) get a basic prototype.
 
     training: (term_id, chunk_id, occ_id, embed), full (whether the buffer filled) and kind if there is one: a phrase is always clustered
     when its buffer fills, a token only if its occurrences do not concentrate."""
+    keep = keep_or(keep, training)
     is_token = F.col("kind") == "token" if "kind" in training.columns else F.lit(True)
     full = training.where("full")
     c = keep(vectors.centres(full, "term_id"))
@@ -94,9 +100,10 @@ def built(training: DataFrame, percentile: float = PERCENTILE, tau: float = TAU,
     return t.drop("wide", "splits").join(keep(found), ["term_id", "occ_id"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-def indexed(occurrences: DataFrame, buffer_size: int = BUFFER, percentile: float = PERCENTILE, tau: float = TAU, min_cluster_size: int | None = None, keep: Keep = as_it_is) -> tuple[DataFrame, DataFrame]:
+def indexed(occurrences: DataFrame, buffer_size: int = BUFFER, percentile: float = PERCENTILE, tau: float = TAU, min_cluster_size: int | None = None, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """Several batches: (prototypes, members).  Prototypes come from the training part, several where a full buffer has senses; later
     occurrences attach; those that do not fit are anomalies, which finalisation gives to the nearest prototype all the same (column anomaly)."""
+    keep = keep_or(keep, occurrences)
     o = keep(training_split(occurrences, buffer_size))
     protos, trained = from_labels(built(o.where("trains"), percentile, tau, min_cluster_size, keep), percentile, keep)
     later = attach(o.where("NOT trains"), protos).select("term_id", "chunk_id", "occ_id", "proto_id", (~F.col("fits")).alias("anomaly"))
@@ -106,7 +113,7 @@ def indexed(occurrences: DataFrame, buffer_size: int = BUFFER, percentile: float
 def settled(anomalies: DataFrame, protos: DataFrame, min_cluster_size: int = 10, percentile: float = PERCENTILE) -> tuple[DataFrame, DataFrame]:
     """Anomalies gathered so far, clustered again: (new prototypes, members).  Each cluster is a new prototype, numbered after those there are;
     what is left, and all of a term without clusters, goes to the nearest prototype, new or old."""
-    labelled = anomalies.join(cluster.clusters(anomalies, "term_id", "chunk_id", "embed", min_cluster_size), ["term_id", "occ_id"])
+    labelled = keep_or(None, anomalies)(anomalies.join(cluster.clusters(anomalies, "term_id", "chunk_id", "embed", min_cluster_size), ["term_id", "occ_id"]))
     inside = labelled.where("cluster >= 0")
     new, members = from_labels(inside, percentile)
     base = protos.agg((F.coalesce(F.max("proto_id"), F.lit(-1)) + 1).alias("base"))

@@ -878,7 +878,7 @@ def token_salience(t: Tables) -> DataFrame:
     return s.select("chunk_id", "pos", r6("salience"))
 
 
-# Without an oracle: held against brute force in tests
+# Without an oracle: tests hold them against NumPy or plain Python
 
 
 @query()

@@ -127,3 +127,84 @@ def test_graph_and_senses_take_all_rows(spark):
     assert catalogue.graph_nodes(t).count() == protos == catalogue.QUERIES["node_weights_all"](spark, SF).count()
     assert catalogue.sense_rows(t).count() == t.occurrences.count()
     assert catalogue.QUERIES["anchor_assignment_all"](spark, SF).select("anchor_id").distinct().count() > 4
+
+
+def embeddings():
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
+    return np.array(t["vec_id"]), np.array(t["label"]), np.array(t["embedding"], dtype=float)
+
+
+def test_principal_components_equal_a_singular_value_decomposition(spark):
+    import numpy as np
+
+    vec, _, x = embeddings()
+    got = {r.vec_id: (r.x, r.y) for r in catalogue.QUERIES["pca_coords"](spark, SF).collect()}
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    for k in (0, 1):
+        want, own = x @ vt[k], np.array([got[i][k] for i in vec])
+        assert np.allclose(own, want, atol=1e-6) or np.allclose(own, -want, atol=1e-6)
+
+
+def test_clusters_of_every_term(spark):
+    """Chunk means of each term, clustered apart; the definition's parts (core distances, least spanning tree) by plain loops."""
+    import numpy as np
+
+    vec, label, x = embeddings()
+    got = {r.occ_id: r.cluster for r in catalogue.QUERIES["hdbscan_prototypes"](spark, SF).collect()}
+    assert set(got) == set(vec.tolist())
+    for t in set(label.tolist()):
+        own = np.flatnonzero(label == t)
+        own = own[np.argsort(vec[own])]
+        same = {}
+        for i in own:
+            same.setdefault(int(vec[i] % 50), set()).add(got[int(vec[i])])
+        assert all(len(c) == 1 for c in same.values())
+    y = x[label == label[0]][:40]
+    d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 5]
+    assert np.allclose(catalogue.cluster.core_distances(y, 5), core)
+    m = np.maximum(d, np.maximum(core[:, None], core[None]))
+    groups, total = {i: {i} for i in range(len(y))}, 0.0
+    for w, i, j in sorted((m[i, j], i, j) for i in range(len(y)) for j in range(i)):
+        if groups[i] is not groups[j]:
+            groups[i] |= groups[j]
+            for k in groups[j]:
+                groups[k] = groups[i]
+            total += w
+    assert np.isclose(sum(w for w, _, _ in catalogue.cluster.spanning_tree(y, core)), total)
+
+
+def test_senses_are_built_where_occurrences_do_not_concentrate(spark):
+    """Training part, gate and nearest prototype by plain NumPy."""
+    import numpy as np
+
+    vec, label, x = embeddings()
+    got = {r.occ_id: (r.term_id, r.proto_id) for r in catalogue.QUERIES["sense_index"](spark, SF).collect()}
+    assert set(got) == set(vec.tolist()) and all(got[int(v)][0] == t for v, t in zip(vec, label, strict=True))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for t in set(label.tolist()):
+        own = np.flatnonzero(label == t)
+        own = own[np.argsort(vec[own])]
+        seen, end = 0, None
+        for b in sorted(set((vec[own] // 100).tolist())):
+            seen += int((vec[own] // 100 == b).sum())
+            if seen >= 20:
+                end = b
+                break
+        trains = own[vec[own] // 100 <= end] if end is not None else own
+        c = unit[trains].mean(axis=0)
+        c /= np.linalg.norm(c)
+        labels = np.full(len(trains), -1)
+        if end is not None and (unit[trains] @ c).mean() <= 0.9:
+            labels = catalogue.cluster.labels_of(x[trains], vec[trains] % 50, None, False)
+        groups = [trains[labels == k] for k in range(labels.max() + 1)] or [trains]
+        centres = np.stack([unit[g].mean(axis=0) / np.linalg.norm(unit[g].mean(axis=0)) for g in groups])
+        ids = sorted({got[int(vec[i])][1] for i in own})
+        assert len(ids) <= len(groups)
+        inside = {int(vec[i]): k for k, g in enumerate(groups) for i in g}
+        want = [inside.get(int(vec[i]), int(np.round(centres @ unit[i], 9).argmax())) for i in own]
+        first = min(got[int(vec[i])][1] - w for i, w in zip(own, want, strict=True))
+        assert [got[int(vec[i])][1] - first for i in own] == want

@@ -129,3 +129,113 @@ def test_table_set(spark, tmp_path):
     assert s.read_or_build("t", lambda: spark.range(9)).count() == 3
     s.clear()
     assert s.metadata() == {}
+
+
+def test_redirect_chains_are_followed_exactly(spark):
+    rows = [(f"a{i}", f"a{i + 1}") for i in range(14)] + [("x", "y"), ("y", "x")]
+    r = spark.createDataFrame(rows, "redirect string, canonical string")
+    for hops in (1, 2, 3, 7, 10):
+        got = {x.redirect: x.canonical for x in redirects.closure(r, hops).collect()}
+        assert got["a0"] == f"a{hops}" and got["a12"] == ("a13" if hops == 1 else "a14")
+
+
+def test_parens_are_stripped_however_deep(spark):
+    from spanloom.functions import text as T
+
+    deep = "a " + "(" * 13 + "x" + ")" * 13 + " b (c) ((d)"
+    got = spark.createDataFrame([(deep,), ("plain",), (None,)], "t string").select(T.strip_parens(F.col("t")).alias("s")).collect()
+    assert [r.s and " ".join(r.s.split()) for r in got] == ["a b (", "plain", None]
+
+
+def test_contexts_of_one_sample_never_clash_with_the_next(spark):
+    entries = [(0, p, f"t{p}", "x" * (p % 7)) for p in range(1500)] + [(1, 0, "t1200", "longer text"), (1, 1, "new", "y")]
+    from spanloom.sources import hotpot
+
+    got = {r.title: (r.doc_id, r.text) for r in hotpot.documents(spark.createDataFrame(entries, "seq long, pos long, title string, text string")).collect()}
+    assert got["t1200"] == (1200, "longer text") and got["new"][0] == 1500 and sorted(i for i, _ in got.values()) == list(range(1501))
+
+
+def test_dense_ids_in_ranges(spark):
+    import random
+
+    from spanloom.operators import ids
+
+    r = random.Random(1)
+    words = [f"{r.choice(['http://', 'ab', 'É', ''])}{r.randrange(300)}" for _ in range(500)] + [None]
+    got = {x.i: x.w for x in ids.dense(spark.createDataFrame([(w,) for w in words], "w string").repartition(3), "w", "i").collect()}
+    assert [got[i] for i in range(501)] == sorted(words, key=lambda w: (w is not None, (w or "").encode()))
+    n = spark.createDataFrame([(i % 40, i) for i in range(300)], "k long, v long")
+    out = {(x.k, x.v): x.s for x in ids.starts(n, ["k", "v"], "s", F.col("v")).collect()}
+    total = 0
+    for k, v in sorted((i % 40, i) for i in range(300)):
+        assert out[k, v] == total
+        total += v
+    plan = ids.dense(n, "v", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "SinglePartition" not in plan.split("Window")[-1].split("hashpartitioning")[0]
+
+
+def test_large_groups_are_clustered(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.05, (300, 3)) + e for e in np.eye(3)])[rng.permutation(900)]
+    monkeypatch.setattr(cluster, "MOST", 400)
+    labels = cluster.labels_of(x, np.arange(900), 20, False)
+    whole = x.argmax(axis=1)
+    assert len(labels) == 900 and labels.max() == 2
+    assert all(len({int(c) for c in labels[whole == k] if c >= 0}) == 1 for k in range(3)) and (labels[400:] >= 0).all()
+
+
+def test_engine_from_text_and_deletion_undoes_addition(spark, tmp_path):
+    from spanloom import engine
+
+    words = "apple river Stone Bridge NASA engine window Green Valley garden paper".split()
+    text = lambda i: ". ".join(" ".join(words[(i * 3 + j * 5 + k) % 11] for k in range(7)) for j in range(4)) + "."
+    docs = [(i, text(i)) for i in range(9)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    store = lambda n: TableSet(spark, f"file://{tmp_path}/{n}")
+    small = engine.index(df(docs[:7]), store("small"), chunk_tokens=20)
+    large = engine.index(df(docs), store("large"), chunk_tokens=20)
+    left = engine.delete(large, df(docs[7:]).select("doc_id"), store("left"))
+    rows = lambda ix: sorted((r.term, r.chunk_id, round(r.bm25, 9)) for r in ix.scores.join(ix.protos.select("proto_id", "term_id"), "proto_id").join(ix.terms.select("term_id", "term"), "term_id").collect())
+    assert rows(left) == rows(small) and len(rows(small)) > 40
+    got = engine.query(large, "The Green Valley garden of zzz", top_k=5).orderBy("ord").collect()
+    assert [r.ord for r in got] == [1, 2, 3, 4, 5] and all(r.text for r in got) and got[0].part == "connected"
+    assert engine.query(large, "garden", top_k=3, search_mode="candidates").count() == 3
+    kinds = {r.text: r.kind for r in engine.prepare(spark, "The Green Valley garden of NASA").collect()}
+    assert kinds["NASA"] in ("ent", "token") and "green valley" in kinds and kinds["garden"] == "token"
+
+
+def test_sense_features_against_numpy(spark):
+    from spanloom.operators import encoding
+
+    e = encoding.HashEncoder()
+    e.load()
+    ctx = spark.createDataFrame([(1, "bank", "He sat on the Bank of the river", None, None), (2, "bank", "no such thing", None, None)], "context_id long, word string, text string, start int, end int")
+    cand = spark.createDataFrame([("bank", "bank.n.01", "sloping land beside the river"), ("bank", "bank.n.02", "")], "word string, sense_id string, profile string")
+    got = {(r.context_id, r.sense_id): r for r in senses.features(ctx, cand, e).collect()}
+    (off, v), = e.encode(["He sat on the [TGT] Bank [TGT] of the river"])
+    (_, w), = e.encode(["sloping land beside the river"])
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    r = got[1, "bank.n.01"]
+    assert abs(r.target_definition - cos(v[5], w.mean(axis=0))) < 1e-9 and abs(r.context_definition - cos(v[2:9].mean(axis=0), w.mean(axis=0))) < 1e-9
+    assert abs(r.cross_alignment - encoding.alignment(v[5:6], w)) < 1e-9
+    assert r.lexical_overlap > 0 and got[2, "bank.n.01"].target_definition == got[2, "bank.n.01"].cross_alignment == 0.0 and got[1, "bank.n.02"].context_definition == 0.0
+    chosen, groups = senses.assign_contexts(ctx, cand, e)
+    assert {x.context_id: x.sense_id for x in chosen.collect()}[1] == "bank.n.01" and [x.n for x in groups.collect()][-1] in (0, 1)
+
+
+def test_validity_of_files_and_words(spark, tmp_path):
+    import gzip
+
+    import pytest
+    from spanloom.sources import store
+
+    (tmp_path / "good.gz").write_bytes(gzip.compress(b"x" * 100_000) + gzip.compress(b"y"))
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(b"x" * 100_000)[:-5])
+    (tmp_path / "none.gz").write_bytes(b"plain")
+    got = {r.path.rsplit("/", 1)[1]: r.valid for r in store.valid_gzip(spark, str(tmp_path)).collect()}
+    assert got == {"good.gz": True, "cut.gz": False, "none.gz": False}
+    texts = {r.path.rsplit("/", 1)[1]: r.text for r in store.binary_texts(spark, str(tmp_path), lambda b: str(len(b))).collect()}
+    assert texts["none.gz"] == "5"
+    with pytest.raises(ValueError):
+        lexkg.check_word("  ")
+    assert spark.range(1).select(lexkg.alias_text(F.array(F.lit("a"), F.lit(None), F.lit("b")), "array<string>").alias("x")).first().x == "a, b"
