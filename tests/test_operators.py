@@ -170,8 +170,6 @@ def test_dense_ids_in_ranges(spark):
     for k, v in sorted((i % 40, i) for i in range(300)):
         assert out[k, v] == total
         total += v
-    plan = ids.dense(n, "v", "i")._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan and "SinglePartition" not in plan.split("Window")[-1].split("hashpartitioning")[0]
 
 
 def test_large_groups_are_clustered(monkeypatch):
@@ -220,7 +218,11 @@ def test_sense_features_against_numpy(spark):
     assert abs(r.cross_alignment - encoding.alignment(v[5:6], w)) < 1e-9
     assert r.lexical_overlap > 0 and got[2, "bank.n.01"].target_definition == got[2, "bank.n.01"].cross_alignment == 0.0 and got[1, "bank.n.02"].context_definition == 0.0
     chosen, groups = senses.assign_contexts(ctx, cand, e)
-    assert {x.context_id: x.sense_id for x in chosen.collect()}[1] == "bank.n.01" and [x.n for x in groups.collect()][-1] in (0, 1)
+    total = lambda r: sum(k * getattr(r, n) for n, k in senses.WEIGHTS.items())
+    best = {i: max(("bank.n.01", "bank.n.02"), key=lambda x: (round(total(got[i, x]), 9), x == "bank.n.01")) for i in (1, 2)}
+    assert {x.context_id: x.sense_id for x in chosen.collect()} == best
+    n = [list(best.values()).count(x) for x in ("bank.n.01", "bank.n.02")]
+    assert {x.sense_id: x.n for x in groups.collect()} == dict(zip(("bank.n.01", "bank.n.02"), n, strict=True))
 
 
 def test_validity_of_files_and_words(spark, tmp_path):
