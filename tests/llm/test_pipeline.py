@@ -41,3 +41,35 @@ def test_stage_names_and_columns(spark, tmp_path):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_edge_cases_of_every_stage(spark, tmp_path):
+    """Nulls in any column, empty, blank and long texts, repeated rows, clashing column names, and an empty table."""
+    r = random.Random(2)
+    prose = lambda n: " ".join(f"{r.choice('bdfgklmnprst')}{r.choice('aeiou')}{r.choice('lmnrst')}" for _ in range(n)) + "."
+    long = prose(60_000)
+    rows = [(1, prose(90), "en", "a"), (2, None, "en", "a"), (3, "", None, None), (4, " \n ", "en", None), (None, prose(80), None, "b"), (5, long, "en", "a"), (6, "one", "en", "b")]
+    rows += [(7, "same words again and again", "en", "b")] * 3 + [(8, prose(70), "en", "c"), (8, prose(75), "en", "c")]
+    schema = "doc_id long, text string, lang string, source string, score string, kept string, size string, draw string, vslot string, text_crc32 string"
+    spark.createDataFrame([(*x, "x", "x", "x", "x", "x", "x") for x in rows], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None), (1, ""), (None, rows[0][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for empty in (False, True):
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        docs = docs.where("false") if empty else docs
+        seen = []
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns if i < 4 else set(out.columns) == {*docs.columns, "shard", "virtual_slot"}
+            path = str(tmp_path / f"out{empty}{i}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            seen.append(Counter(x.doc_id for x in docs.select("doc_id").collect()))
+        if empty:
+            assert not any(seen)
+            continue
+        assert seen[0] == {1: 1, None: 1, 5: 1, 6: 1, 7: 3, 8: 2}  # without labels every text with words passes
+        assert seen[1] == {1: 1, None: 1, 5: 1, 6: 1, 7: 1, 8: 2}  # of equal rows one stays
+        assert seen[2] == {None: 1, 5: 1, 6: 1, 7: 1, 8: 2}  # the item without an id is the first document
+        assert set(seen[3]) <= set(seen[2]) and max(seen[3].values()) <= 6
+        assert seen[4] == seen[3] and docs.where("shard IS NULL OR virtual_slot IS NULL").isEmpty()
