@@ -27,9 +27,13 @@ def clean_basic(c: Column) -> Column:
     return F.lower(F.regexp_replace(squeeze(c), "[\"']", ""))
 
 
-#: A letter, mark, digit or underscore of any script, as for \\b.
-_WORD = r"[\p{L}\p{M}\p{N}_]"
-PROTECTED = rf"(?<!{_WORD})(?:[A-Z]{{2,}}|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?!{_WORD})"
+#: A letter, digit or underscore of any script: what the boundaries of both patterns go by, whatever the regex engine's own \\b does.
+_WORD = r"[\p{L}\p{N}_]"
+#: The two patterns for the JVM: repeats are possessive, which match the same here (no word can end earlier) but run as loops.  Java's
+#: plain repeats of groups recurse once a repeat, and a few thousand capitalised words in a row would end the executor's stack.
+JVM_ACRONYM = rf"(?<!{_WORD})[A-Z]{{2,}}+(?!{_WORD})"
+JVM_TITLE_RUN = rf"(?<!{_WORD})[A-Z][a-z]++(?:\s++[A-Z][a-z]++(?!{_WORD}))++"
+PROTECTED = f"{JVM_ACRONYM}|{JVM_TITLE_RUN}"
 
 
 def clean_text(c: Column) -> Column:
@@ -43,11 +47,11 @@ def clean_text(c: Column) -> Column:
 
 
 def acronyms(c: Column) -> Column:
-    return F.regexp_extract_all(squeeze(c), F.lit(ACRONYM), F.lit(0))
+    return F.regexp_extract_all(squeeze(c), F.lit(JVM_ACRONYM), F.lit(0))
 
 
 def title_runs(c: Column) -> Column:
-    return F.regexp_extract_all(squeeze(c), F.lit(TITLE_RUN), F.lit(0))
+    return F.regexp_extract_all(squeeze(c), F.lit(JVM_TITLE_RUN), F.lit(0))
 
 
 def words(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """Driver queries of the engine's operators on the driver's tables, each with an oracle in plain SQL where SQL can say it.
 
-Stand-ins: term = embeddings.label, occurrence = vec_id, chunk = vec_id % 50, batch = vec_id div 100; corpus = documents; the ASCII part
-of it for regular expressions whose word boundaries differ between engines; redirects = part names; hierarchy = region to supplier."""
+Stand-ins: term = embeddings.label, occurrence = vec_id, chunk = vec_id % 50, batch = vec_id div 100; corpus = documents; redirects = part
+names; hierarchy = region to supplier."""
 
 from __future__ import annotations
 
@@ -22,9 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 class Tables:
-    """The driver's tables, and the stand-ins made of them.  What the oracles' SQL is stated for: nodes, anchors, texts."""
-
-    NODES, ANCHORS, MARKED = "proto_id < 8", "proto_id < 4", "length(text) > 40"
+    """The driver's tables, and the stand-ins made of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -32,10 +30,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    @property
-    def ascii_docs(self) -> DataFrame:
-        return self.documents.where(r"NOT text RLIKE '[^\\x00-\\x7F]'")
-
     @property
     def occurrences(self) -> DataFrame:
         return self.embeddings.select(F.col("label").cast("long").alias("term_id"), (F.col("vec_id") % 50).alias("chunk_id"), F.col("vec_id").alias("occ_id"), F.expr("vec_id DIV 100").alias("batch_ord"), V.doubles(F.col("embedding")).alias("embed"))
@@ -69,27 +63,6 @@ class Tables:
         return self.documents.select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("num_tokens"))
 
 
-class Whole(Tables):
-    """The same stand-ins without a cut: queries named *_all run on every row, also where engines' regular expressions differ."""
-
-    NODES = ANCHORS = MARKED = "true"
-
-    @property
-    def ascii_docs(self) -> DataFrame:
-        return self.documents
-
-
-def whole(f: Callable[[Tables], DataFrame], *cuts: str) -> None:
-    """Registers f over Whole as NAME_all; its oracle is f's SQL without the cuts (none are given where engines differ)."""
-    name = f"{f.__name__}_all"
-    QUERIES[name] = lambda spark, sf_dir: f(Whole(spark, sf_dir))
-    if cuts:
-        sql = ORACLE_SQL[f.__name__]
-        for cut in cuts:
-            sql = sql.replace(cut, "")
-        ORACLE_SQL[name] = sql
-
-
 def query(sql: str | None = None) -> Callable:
     """Registers f(tables) under its name."""
 
@@ -116,35 +89,38 @@ def joined(*cols: str):
     return [F.array_join(F.col(c), "|").alias(c) for c in cols]
 
 
-ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7F]')"
 SQUEEZED = r"trim(regexp_replace(replace(text, '-' || chr(10), ''), '\s+', ' ', 'g'))"
 WORDS = r"list_filter(string_split_regex(coalesce({c}, ''), '\s+'), lambda w: w <> '')"
 
 # Text
 
 
-@query(f"SELECT doc_id, lower(regexp_replace({SQUEEZED}, '[\"'']', '', 'g')) AS cleaned FROM documents WHERE {ASCII}")
+@query(f"SELECT doc_id, lower(regexp_replace({SQUEEZED}, '[\"'']', '', 'g')) AS cleaned FROM documents")
 def clean_basic(t: Tables) -> DataFrame:
-    return t.ascii_docs.select("doc_id", T.clean_basic(F.col("text")).alias("cleaned"))
+    return t.documents.select("doc_id", T.clean_basic(F.col("text")).alias("cleaned"))
 
 
-_PROTECTED = r"\b[A-Z]{2,}\b|\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+# DuckDB's word boundaries know ASCII only: texts are cut into words of any script and what lies between.
+_PIECES = rf"regexp_extract_all({SQUEEZED}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+_CAPITALISED = "coalesce(regexp_full_match({p}, '[A-Z][a-z]+'), false)"
 
 
-@query(rf"""SELECT doc_id, trim(list_aggregate(list_transform(regexp_extract_all({SQUEEZED}, '{_PROTECTED}|\w+|\W+'),
-    lambda p: CASE WHEN regexp_full_match(p, '{_PROTECTED}') THEN p ELSE lower(regexp_replace(p, '["'']', '', 'g')) END), 'string_agg', '')) AS cleaned FROM documents WHERE {ASCII}""")
+@query(rf"""WITH d AS (SELECT doc_id, text, {_PIECES} AS ps FROM documents)
+    SELECT doc_id, trim(array_to_string(list_transform(ps, lambda p, i: CASE WHEN regexp_full_match(p, '[A-Z]{{2,}}') OR {_CAPITALISED.format(p='p')} AND (ps[i + 1] = ' ' AND {_CAPITALISED.format(p='ps[i + 2]')} OR i > 2 AND ps[i - 1] = ' ' AND {_CAPITALISED.format(p='ps[i - 2]')})
+    THEN p ELSE lower(regexp_replace(p, '["'']', '', 'g')) END), '')) AS cleaned FROM d""")
 def clean_protected(t: Tables) -> DataFrame:
-    return t.ascii_docs.select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
+    return t.documents.select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query(rf"SELECT doc_id, array_to_string(regexp_extract_all({SQUEEZED}, '\b[A-Z]{{2,}}\b'), '|') AS acronyms FROM documents WHERE {ASCII}")
+@query(f"SELECT doc_id, array_to_string(list_filter({_PIECES}, lambda p: regexp_full_match(p, '[A-Z]{{2,}}')), '|') AS acronyms FROM documents")
 def acronym_spans(t: Tables) -> DataFrame:
-    return t.ascii_docs.select("doc_id", T.acronyms(F.col("text")).alias("acronyms")).select("doc_id", *joined("acronyms"))
+    return t.documents.select("doc_id", T.acronyms(F.col("text")).alias("acronyms")).select("doc_id", *joined("acronyms"))
 
 
-@query(rf"SELECT doc_id, array_to_string(regexp_extract_all({SQUEEZED}, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b'), '|') AS runs FROM documents WHERE {ASCII}")
+@query(f"""WITH d AS (SELECT doc_id, array_to_string(list_transform({_PIECES}, lambda p: CASE WHEN p = ' ' OR {_CAPITALISED.format(p='p')} THEN p ELSE '#' END), '') AS bare FROM documents)
+    SELECT doc_id, array_to_string(regexp_extract_all(bare, '[A-Z][a-z]+( [A-Z][a-z]+)+'), '|') AS runs FROM d""")
 def title_spans(t: Tables) -> DataFrame:
-    return t.ascii_docs.select("doc_id", T.title_runs(F.col("text")).alias("runs")).select("doc_id", *joined("runs"))
+    return t.documents.select("doc_id", T.title_runs(F.col("text")).alias("runs")).select("doc_id", *joined("runs"))
 
 
 @query(rf"""WITH w AS (SELECT p_partkey, {WORDS.format(c="'The ' || p_name || ' NASA Probe'")} AS w FROM part)
@@ -153,9 +129,9 @@ def normalize_phrase(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.normalize_phrase(F.concat(F.lit("The "), "p_name", F.lit(" NASA Probe"))).alias("phrase"))
 
 
-@query(f"SELECT doc_id, CAST(len({WORDS.format(c='text')}) AS BIGINT) AS n_words FROM documents WHERE {ASCII}")
+@query(f"SELECT doc_id, CAST(len({WORDS.format(c='text')}) AS BIGINT) AS n_words FROM documents")
 def word_counts(t: Tables) -> DataFrame:
-    return t.ascii_docs.select("doc_id", T.count_words(F.col("text")).alias("n_words"))
+    return t.documents.select("doc_id", T.count_words(F.col("text")).alias("n_words"))
 
 
 @query("""WITH d AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) || ' ' || CAST(event_id AS VARCHAR) WHEN event_id % 3 = 1 THEN event_type ELSE ' ' END AS s FROM events)
@@ -186,19 +162,19 @@ def title_bucket_sizes(t: Tables) -> DataFrame:
 _SENTS = r"list_filter(list_transform(regexp_extract_all({c}, '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')"
 
 
-@query(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s[1] AS first FROM (SELECT doc_id, {_SENTS.format(c='text')} AS s FROM documents WHERE {ASCII})")
+@query(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s[1] AS first FROM (SELECT doc_id, {_SENTS.format(c='text')} AS s FROM documents)")
 def sentence_split(t: Tables) -> DataFrame:
-    s = t.ascii_docs.select("doc_id", T.sentences(F.col("text")).alias("s"))
+    s = t.documents.select("doc_id", T.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.try_element_at("s", F.lit(1)).alias("first"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTS.format(c='text')} AS s FROM documents WHERE {ASCII}),
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTS.format(c='text')} AS s FROM documents),
     g(doc_id, i, chunk, n) AS (SELECT doc_id, 1, 1, len(string_split(s[1], ' ')) FROM s WHERE len(s) > 0
       UNION ALL SELECT g.doc_id, i + 1, CASE WHEN n + len(string_split(s[i + 1], ' ')) > 60 THEN chunk + 1 ELSE chunk END, CASE WHEN n + len(string_split(s[i + 1], ' ')) > 60 THEN 0 ELSE n END + len(string_split(s[i + 1], ' '))
       FROM g JOIN s ON g.doc_id = s.doc_id WHERE i < len(s))
     SELECT g.doc_id, CAST(chunk AS BIGINT) AS chunk, string_agg(s[i], ' ' ORDER BY i) AS text FROM g JOIN s ON g.doc_id = s.doc_id GROUP BY 1, 2""")
 def greedy_chunks(t: Tables) -> DataFrame:
-    c = t.ascii_docs.select("doc_id", F.posexplode(spans.greedy_chunks(T.sentences(F.col("text")), 60)).alias("i", "text"))
+    c = t.documents.select("doc_id", F.posexplode(spans.greedy_chunks(T.sentences(F.col("text")), 60)).alias("i", "text"))
     return c.select("doc_id", (F.col("i") + 1).cast("long").alias("chunk"), "text")
 
 
@@ -206,15 +182,9 @@ _STOP = ", ".join(f"'{w}'" for w in spans.STOP)
 
 
 @query(rf"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*'), lambda w: NOT list_contains([{_STOP}], lower(w)) AND NOT regexp_full_match(w, '\d+(\.\d+)?')
-    AND length(w) >= 2 AND NOT (length(w) <= 2 AND w = lower(w) AND regexp_matches(w, '[a-z]'))), '|') AS tokens FROM documents WHERE {ASCII}""")
+    AND length(w) >= 2 AND NOT (length(w) <= 2 AND w = lower(w) AND regexp_matches(w, '[a-z]'))), '|') AS tokens FROM documents""")
 def important_tokens(t: Tables) -> DataFrame:
-    return t.ascii_docs.select("doc_id", spans.important_tokens(F.col("text")).alias("tokens")).select("doc_id", *joined("tokens"))
-
-
-for _f in (clean_basic, word_counts, sentence_split, greedy_chunks, important_tokens):
-    whole(_f, f" WHERE {ASCII}")
-for _f in (clean_protected, acronym_spans, title_spans):  # \b differs between engines: held against Python in tests
-    whole(_f)
+    return t.documents.select("doc_id", spans.important_tokens(F.col("text")).alias("tokens")).select("doc_id", *joined("tokens"))
 
 
 _SPANS = "list_transform(range(1, 9), lambda i: {{'s': (doc_id * i * 7) % 40, 'e': (doc_id * i * 7) % 40 + 1 + (doc_id + i * i) % 12}})".replace("{{", "{").replace("}}", "}")
@@ -377,7 +347,7 @@ def ochiai_edges(t: Tables) -> DataFrame:
     return scoring.shared_chunk_edges(m, "node", "chunk").select("a", "b", "shared", r6("weight"))
 
 
-_GRAPH = f"""{_PROTO}, nodes AS (SELECT proto_id AS node, proto_id, 't' || CAST(proto_id % 7 AS VARCHAR) AS term, CAST(proto_id % 4 AS INT) AS level FROM df WHERE proto_id < 8),
+_GRAPH = f"""{_PROTO}, nodes AS (SELECT proto_id AS node, proto_id, 't' || CAST(proto_id % 7 AS VARCHAR) AS term, CAST(proto_id % 4 AS INT) AS level FROM df),
     mem AS (SELECT DISTINCT node, chunk_id FROM nodes JOIN bm ON nodes.proto_id = bm.proto_id), kk AS (SELECT node, count(*) AS k FROM mem GROUP BY 1),
     e AS (SELECT x.node AS a, y.node AS b, count(*) / sqrt(CAST(any_value(p.k) * any_value(q.k) AS DOUBLE)) AS w FROM mem x JOIN mem y ON x.chunk_id = y.chunk_id AND x.node < y.node JOIN kk p ON x.node = p.node JOIN kk q ON y.node = q.node GROUP BY 1, 2),
     nw AS (SELECT n.node, n.proto_id, n.term, n.level, sum(w * [1.2, 1.0, 0.8, 0.5][level + 1]) AS weight FROM (SELECT a AS node, w FROM e UNION ALL SELECT b, w FROM e) z JOIN nodes n ON z.node = n.node GROUP BY n.node, n.proto_id, n.term, n.level),
@@ -386,7 +356,7 @@ _GRAPH = f"""{_PROTO}, nodes AS (SELECT proto_id AS node, proto_id, 't' || CAST(
 
 
 def graph_nodes(t: Tables) -> DataFrame:
-    return t.protos.where(t.NODES).select(F.col("proto_id").alias("node"), "proto_id", F.expr("concat('t', proto_id % 7)").alias("term"), F.expr("CAST(proto_id % 4 AS INT)").alias("level"))
+    return t.protos.select(F.col("proto_id").alias("node"), "proto_id", F.expr("concat('t', proto_id % 7)").alias("term"), F.expr("CAST(proto_id % 4 AS INT)").alias("level"))
 
 
 @query(f"WITH {_GRAPH} SELECT node, round(weight, 6) AS weight FROM nw")
@@ -432,14 +402,10 @@ def extract_round(t: Tables) -> DataFrame:
     iso AS (SELECT chunk_id, row_number() OVER (ORDER BY level, pos) AS ord FROM lr WHERE chunk_id NOT IN (SELECT chunk_id FROM con))
     SELECT CAST(ord AS BIGINT) AS ord, chunk_id, 'connected' AS part FROM con UNION ALL SELECT CAST(n + ord AS BIGINT), chunk_id, 'isolated' FROM iso, nc WHERE ord <= CASE WHEN n < 8 THEN 10 - n ELSE 2 END""")
 def multi_level_query(t: Tables) -> DataFrame:
-    """The flagship: the ten best chunks for eight query nodes, eight connected and two from the levels."""
+    """The flagship: the ten best chunks with every prototype as a query node, eight connected and two from the levels."""
     return retrieval.multi_level(graph_nodes(t), t.proto_scores).select(F.col("ord").cast("long").alias("ord"), "chunk_id", "part")
 
 
-for _f in (node_weights, chunk_weights, level_ranking, multi_level_query):
-    whole(_f, " WHERE proto_id < 8")
-
-
 @query(f"""WITH {_CENTRE}, q AS (SELECT term_id AS span, 'term ' || term_id AS text, centre AS v FROM cen UNION ALL SELECT 1000 + occ_id, 'term', v FROM occ WHERE occ_id % 20 = 0 UNION ALL SELECT 1000000 + occ_id, 'unknown', v FROM occ WHERE occ_id % 20 = 1),
     p AS (SELECT q.span, q.text, cen.term_id AS proto_id, 'term ' || cen.term_id AS term, list_cosine_similarity(q.v, centre) AS sim FROM q CROSS JOIN cen),
     n AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY round(sim, 9) DESC, proto_id) AS rank FROM p)
@@ -596,35 +562,22 @@ def store_upgrade(t: Tables) -> DataFrame:
     return store.upgrade_records(old).select("record_index", "lookup_term", "doc_id", "text", "title")
 
 
-@query(r"""SELECT doc_id, substr(text, 1, 5) || '[TGT] ' || substr(text, 6, 7) || ' [TGT]' || substr(text, 13) AS marked, CAST(11 AS BIGINT) AS s, CAST(18 AS BIGINT) AS e,
-    CASE WHEN z = '' THEN trim(text) ELSE z END AS sentence FROM (SELECT *, trim(regexp_extract(substr(text, 1, 5), '([^.?!]*)$', 1) || substr(text, 6, 7) || regexp_extract(substr(text, 13), '^([^.?!]*[.?!]?)', 1)) AS z FROM documents WHERE length(text) > 40)""")
+@query(r"""SELECT doc_id, CASE WHEN length(text) >= 12 THEN substr(text, 1, 5) || '[TGT] ' || substr(text, 6, 7) || ' [TGT]' || substr(text, 13) ELSE text END AS marked, CAST(CASE WHEN length(text) >= 12 THEN 11 END AS BIGINT) AS s, CAST(CASE WHEN length(text) >= 12 THEN 18 END AS BIGINT) AS e,
+    CASE WHEN length(text) < 12 OR z = '' THEN trim(text) ELSE z END AS sentence FROM (SELECT *, trim(regexp_extract(substr(text, 1, 5), '([^.?!]*)$', 1) || substr(text, 6, 7) || regexp_extract(substr(text, 13), '^([^.?!]*[.?!]?)', 1)) AS z FROM documents)""")
 def target_mark(t: Tables) -> DataFrame:
     """A text that ends before the span's end stays unmarked: no place, the whole text as sentence; a null text gives nulls."""
-    d = t.documents.where(t.MARKED)
-    m = d.select("doc_id", "text", T.mark_target(F.col("text"), F.lit(5), F.lit(12)).alias("m"), T.sentence_of_span(F.col("text"), F.lit(5), F.lit(12)).alias("sentence"))
+    m = t.documents.select("doc_id", "text", T.mark_target(F.col("text"), F.lit(5), F.lit(12)).alias("m"), T.sentence_of_span(F.col("text"), F.lit(5), F.lit(12)).alias("sentence"))
     held = lambda c, other: F.when(F.length("text") >= 12, c).otherwise(other)
     return m.select("doc_id", held(F.col("m.text"), F.col("text")).alias("marked"), held(F.col("m.start").cast("long"), None).alias("s"), held(F.col("m.end").cast("long"), None).alias("e"), held(F.col("sentence"), F.trim("text")).alias("sentence"))
 
 
-whole(target_mark)
-
-
 _OVER = r"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9_\-]*'), lambda w: length(w) > 2))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_OVER.format(c='text')} AS x FROM documents WHERE {ASCII}), b AS (SELECT item_id, {_OVER.format(c='text')} AS y FROM benchmark WHERE item_id < 5 AND {ASCII})
-    SELECT doc_id, item_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) END, 6) AS overlap FROM d, b""")
-def lexical_overlap(t: Tables) -> DataFrame:
-    """All documents against a stated set of five items."""
-    b = t.benchmark.where("item_id < 5").where(r"NOT text RLIKE '[^\\x00-\\x7F]'").select("item_id", T.overlap_terms(F.col("text")).alias("y"))
-    d = t.ascii_docs.select("doc_id", T.overlap_terms(F.col("text")).alias("x"))
-    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("overlap"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, {_OVER.format(c='text')} AS x FROM documents), b AS (SELECT item_id, {_OVER.format(c='text')} AS y FROM benchmark),
     p AS (SELECT doc_id, item_id, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS shared FROM d CROSS JOIN b)
     SELECT doc_id, item_id, round(shared / (nx + ny - shared), 6) AS overlap FROM p WHERE shared > 0""")
-def lexical_overlap_all(t: Tables) -> DataFrame:
+def lexical_overlap(t: Tables) -> DataFrame:
     """All documents with all items, by the terms they share; pairs that share none are left out."""
     d, b = (x.select(i, T.overlap_terms(F.col("text")).alias("terms")) for x, i in ((t.documents, "doc_id"), (t.benchmark, "item_id")))
     return senses.overlaps(d, "doc_id", b, "item_id").withColumn("overlap", F.round("overlap", 6))
@@ -717,15 +670,12 @@ def best_sense_groups(t: Tables) -> DataFrame:
     return senses.groups(assigned, t.spark.range(0, 7).withColumnRenamed("id", "anchor_id"))
 
 
-@query(f"""WITH {_CENTRE} SELECT occ_id AS rec_id, arg_min(cen.term_id, -round(list_cosine_similarity(v, centre), 9)) AS anchor_id FROM occ, cen WHERE cen.term_id < 4 GROUP BY 1""")
+@query(f"""WITH {_CENTRE} SELECT occ_id AS rec_id, arg_min(cen.term_id, -round(list_cosine_similarity(v, centre), 9)) AS anchor_id FROM occ, cen GROUP BY 1""")
 def anchor_assignment(t: Tables) -> DataFrame:
-    anchors = t.protos.where(t.ANCHORS).select(F.col("proto_id").alias("anchor_id"), "centre")
+    anchors = t.protos.select(F.col("proto_id").alias("anchor_id"), "centre")
     return senses.assign_anchors(t.occurrences.select(F.col("occ_id").alias("rec_id"), "embed"), anchors).select("rec_id", "anchor_id")
 
 
-whole(anchor_assignment, " WHERE cen.term_id < 4")
-
-
 @query("""WITH r AS (SELECT source AS q_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, 'Title  ' || CAST(doc_id AS VARCHAR) AS title, doc_id FROM documents), g AS (SELECT source AS q_id, 'title ' || CAST(d.doc_id AS VARCHAR) AS t FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0),
     h AS (SELECT r.q_id, min(rank) AS k FROM r JOIN g ON r.q_id = g.q_id AND lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) = t WHERE rank <= 10 GROUP BY 1)
     SELECT q.q_id, round(coalesce(1.0 / k, 0.0), 6)::DOUBLE AS rr FROM (SELECT DISTINCT q_id FROM r) q LEFT JOIN h ON q.q_id = h.q_id""".replace("\\\\", "\\"))

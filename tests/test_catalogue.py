@@ -66,11 +66,11 @@ def with_odd_texts(spark, tmp_path_factory):
 
 
 WHOLE = {
-    "clean_protected_all": lambda x: cleaned(x),
-    "acronym_spans_all": lambda x: "|".join(re.findall(ACRONYM, squeezed(x))),
-    "title_spans_all": lambda x: "|".join(re.findall(TITLE_RUN, squeezed(x))),
-    "clean_basic_all": lambda x: re.sub("[\"']", "", squeezed(x)).lower(),
-    "word_counts_all": lambda x: len([w for w in re.split(SPACES, x or "") if w]),
+    "clean_protected": lambda x: cleaned(x),
+    "acronym_spans": lambda x: "|".join(re.findall(ACRONYM, squeezed(x))),
+    "title_spans": lambda x: "|".join(re.findall(TITLE_RUN, squeezed(x))),
+    "clean_basic": lambda x: re.sub("[\"']", "", squeezed(x)).lower(),
+    "word_counts": lambda x: len([w for w in re.split(SPACES, x or "") if w]),
 }
 
 
@@ -79,12 +79,12 @@ def test_whole_documents(spark, with_odd_texts, name):
     texts = dict(spark.read.parquet(f"{with_odd_texts}/documents.parquet").collect())
     got = {r[0]: r[1] for r in catalogue.QUERIES[name](spark, with_odd_texts).collect()}
     assert len(got) == 205
-    assert got == {i: None if x is None and name != "word_counts_all" else WHOLE[name](x) for i, x in texts.items()}
+    assert got == {i: None if x is None and name != "word_counts" else WHOLE[name](x) for i, x in texts.items()}
 
 
 def test_short_texts_are_unmarked(spark, with_odd_texts):
     texts = spark.read.parquet(f"{with_odd_texts}/documents.parquet")
-    rows = {r.doc_id: r for r in catalogue.QUERIES["target_mark_all"](spark, with_odd_texts).collect()}
+    rows = {r.doc_id: r for r in catalogue.QUERIES["target_mark"](spark, with_odd_texts).collect()}
     assert len(rows) == texts.count()
     assert tuple(rows[10**6])[1:] == (None,) * 4 and tuple(rows[10**6 + 1])[1:] == ("", None, None, "")
     for r in texts.where("length(text) >= 12").collect():
@@ -122,11 +122,11 @@ def test_extracted_spans(spark, with_odd_texts):
 
 
 def test_graph_and_senses_take_all_rows(spark):
-    t = catalogue.Whole(spark, SF)
+    t = catalogue.Tables(spark, SF)
     protos = t.protos.count()
-    assert catalogue.graph_nodes(t).count() == protos == catalogue.QUERIES["node_weights_all"](spark, SF).count()
+    assert catalogue.graph_nodes(t).count() == protos == catalogue.QUERIES["node_weights"](spark, SF).count()
     assert catalogue.sense_rows(t).count() == t.occurrences.count()
-    assert catalogue.QUERIES["anchor_assignment_all"](spark, SF).select("anchor_id").distinct().count() > 4
+    assert catalogue.QUERIES["anchor_assignment"](spark, SF).select("anchor_id").distinct().count() > 4
 
 
 def embeddings():
