@@ -562,13 +562,13 @@ def store_upgrade(t: Tables) -> DataFrame:
     return store.upgrade_records(old).select("record_index", "lookup_term", "doc_id", "text", "title")
 
 
-@query(r"""SELECT doc_id, CASE WHEN length(text) >= 12 THEN substr(text, 1, 5) || '[TGT] ' || substr(text, 6, 7) || ' [TGT]' || substr(text, 13) ELSE text END AS marked, CAST(CASE WHEN length(text) >= 12 THEN 11 END AS BIGINT) AS s, CAST(CASE WHEN length(text) >= 12 THEN 18 END AS BIGINT) AS e,
+@query(r"""SELECT doc_id, CASE WHEN length(text) >= 12 THEN substr(text, 1, 5) || '[TGT] ' || substr(text, 6, 7) || ' [TGT]' || substr(text, 13) ELSE text END AS marked, CAST(CASE WHEN length(text) >= 12 THEN 11 ELSE -1 END AS BIGINT) AS s, CAST(CASE WHEN length(text) >= 12 THEN 18 ELSE -1 END AS BIGINT) AS e,
     CASE WHEN length(text) < 12 OR z = '' THEN trim(text) ELSE z END AS sentence FROM (SELECT *, trim(regexp_extract(substr(text, 1, 5), '([^.?!]*)$', 1) || substr(text, 6, 7) || regexp_extract(substr(text, 13), '^([^.?!]*[.?!]?)', 1)) AS z FROM documents)""")
 def target_mark(t: Tables) -> DataFrame:
-    """A text that ends before the span's end stays unmarked: no place, the whole text as sentence; a null text gives nulls."""
+    """A text that ends before the span's end stays unmarked: -1 for its place, the whole text as sentence; a null text stays null."""
     m = t.documents.select("doc_id", "text", T.mark_target(F.col("text"), F.lit(5), F.lit(12)).alias("m"), T.sentence_of_span(F.col("text"), F.lit(5), F.lit(12)).alias("sentence"))
     held = lambda c, other: F.when(F.length("text") >= 12, c).otherwise(other)
-    return m.select("doc_id", held(F.col("m.text"), F.col("text")).alias("marked"), held(F.col("m.start").cast("long"), None).alias("s"), held(F.col("m.end").cast("long"), None).alias("e"), held(F.col("sentence"), F.trim("text")).alias("sentence"))
+    return m.select("doc_id", held(F.col("m.text"), F.col("text")).alias("marked"), held(F.col("m.start").cast("long"), F.lit(-1)).alias("s"), held(F.col("m.end").cast("long"), F.lit(-1)).alias("e"), held(F.col("sentence"), F.trim("text")).alias("sentence"))
 
 
 _OVER = r"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z][a-z0-9_\-]*'), lambda w: length(w) > 2))"

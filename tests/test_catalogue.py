@@ -82,11 +82,24 @@ def test_whole_documents(spark, with_odd_texts, name):
     assert got == {i: None if x is None and name != "word_counts" else WHOLE[name](x) for i, x in texts.items()}
 
 
+def test_a_very_long_run_of_capitalised_or_hyphenated_words(spark):
+    """No pattern recurses once a word, and places are found in linear time."""
+    from pyspark.sql import functions as F
+
+    n = 6000
+    d = spark.createDataFrame([("Ab " * n,), ("a-" * n,), ("NASA " * n,), ("Ab ab " * n,)], "text string")
+    runs, acronyms, cleaned_ = zip(*d.select(F.size(catalogue.T.title_runs(F.col("text"))), F.size(catalogue.T.acronyms(F.col("text"))), F.length(catalogue.T.clean_text(F.col("text")))).collect(), strict=True)
+    assert runs == (1, 0, 0, 0) and acronyms == (0, 0, n, 0) and cleaned_ == (3 * n - 1, 2 * n, 5 * n - 1, 6 * n - 1)
+    toks = catalogue.spans.annotate(d).select("ents", "toks").collect()
+    assert [len(r.ents) for r in toks] == [1, 0, n, 0] and [len(r.toks) for r in toks] == [n, 1, n, 2 * n]
+    assert (toks[3].toks[-1].s, toks[3].toks[-1].e, toks[3].toks[-1].text) == (6 * n - 3, 6 * n - 1, "ab")
+
+
 def test_short_texts_are_unmarked(spark, with_odd_texts):
     texts = spark.read.parquet(f"{with_odd_texts}/documents.parquet")
     rows = {r.doc_id: r for r in catalogue.QUERIES["target_mark"](spark, with_odd_texts).collect()}
     assert len(rows) == texts.count()
-    assert tuple(rows[10**6])[1:] == (None,) * 4 and tuple(rows[10**6 + 1])[1:] == ("", None, None, "")
+    assert tuple(rows[10**6])[1:] == (None, -1, -1, None) and tuple(rows[10**6 + 1])[1:] == ("", -1, -1, "")
     for r in texts.where("length(text) >= 12").collect():
         assert tuple(rows[r.doc_id])[1:4] == (f"{r.text[:5]}[TGT] {r.text[5:12]} [TGT]{r.text[12:]}", 11, 18)
     assert (rows[10**6 + 4].marked, rows[10**6 + 4].s) == ("Straß[TGT] e Von D [TGT]er Höhe", 11)
