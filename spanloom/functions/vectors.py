@@ -25,14 +25,14 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """v over its length; a zero vector stays."""
-    n = norm(v)
-    return F.transform(doubles(v), lambda a: F.when(n > 0, a / n).otherwise(F.lit(0.0)))
+    """v over its length; a zero vector stays.  The length goes into the inner lambda as a variable: a column would be computed again for every element."""
+    by = lambda n: F.transform(doubles(v), lambda a: F.when(n > 0, a / n).otherwise(F.lit(0.0)))
+    return F.try_element_at(F.transform(F.array(norm(v)), by), F.lit(1))
 
 
 def cosine(x: Column, y: Column) -> Column:
-    n = norm(x) * norm(y)
-    return F.when(n > 0, dot(x, y) / n)
+    """Null if either is a zero vector."""
+    return F.try_divide(dot(x, y), norm(x) * norm(y))
 
 
 def cosine_or_zero(x: Column, y: Column) -> Column:
