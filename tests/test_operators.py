@@ -241,3 +241,37 @@ def test_validity_of_files_and_words(spark, tmp_path):
     with pytest.raises(ValueError):
         lexkg.check_word("  ")
     assert spark.range(1).select(lexkg.alias_text(F.array(F.lit("a"), F.lit(None), F.lit("b")), "array<string>").alias("x")).first().x == "a, b"
+
+
+def test_containment_by_sweep_equals_all_pairs(spark):
+    """Random intervals with ties, repeats and empty ones, some over a block's length; null and empty arrays."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import spans
+
+    rnd = random.Random(3)
+    interval = lambda wide: (lambda s: (s, s + rnd.randint(0, 6)))(rnd.randint(0, wide))
+    rows = [([interval(w) for _ in range(n)], [interval(w) for _ in range(m)]) for n, m, w in [(0, 0, 5), (0, 3, 5), (3, 0, 5), *[(rnd.randint(1, 25), rnd.randint(1, 25), 20) for _ in range(60)], (700, 300, 900)]]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, (None, None)])], "id int, x array<struct<s:int,e:int>>, y array<struct<s:int,e:int>>")
+    got = {r.id: r for r in d.select("id", spans.uncovered(F.col("x"), F.col("y")).alias("u"), spans.drop_contained(F.col("x")).alias("k")).collect()}
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
+    for i, (x, y) in enumerate(rows):
+        assert [tuple(v) for v in got[i].u] == [a for a in x if not any(inside(a, b) for b in y)]
+        better = lambda j, a, k, b: j != k and inside(a, b) and (b[1] - b[0] > a[1] - a[0] or k < j)
+        assert [tuple(v) for v in got[i].k] == [a for j, a in enumerate(x) if not any(better(j, a, k, b) for k, b in enumerate(x))]
+    assert got[len(rows)].u is None and got[len(rows)].k is None
+
+
+def test_normalised_vectors(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from spanloom.functions import vectors as V
+
+    d = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0]), ([], []), (None, [1.0])], "x array<double>, y array<double>")
+    got = d.select(V.normalized(F.col("x")).alias("n"), V.cosine(F.col("x"), F.col("y")).alias("c"), V.cosine_or_zero(F.col("x"), F.col("y")).alias("z")).collect()
+    assert [r.n for r in got] == [[0.6, 0.8], [0.0, 0.0], [], None]
+    assert math.isclose(got[0].c, 0.96) and [r.c for r in got[1:]] == [None] * 3 and [r.z for r in got[1:]] == [0.0] * 3
