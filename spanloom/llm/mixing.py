@@ -60,7 +60,7 @@ def thresholds(cands: DataFrame, budgets: DataFrame) -> DataFrame:
         s = small(state).alias("s")
         inside = cands.alias("c").join(s, F.expr(f"c.source <=> s.source AND shiftright(c.draw, {shift + LEVEL_BITS}) = s.head"))
         hist = inside.groupBy("c.source", F.expr(f"shiftright(c.draw, {shift})").alias("head")).agg(F.sum("c.size").alias("words"), F.count("*").alias("n"))
-        cum = hist.alias("h").join(s, F.expr("h.source <=> s.source")).selectExpr("h.source", "budget", "h.head", "n", "words", "s.prefix + sum(words) OVER (PARTITION BY h.source ORDER BY h.head) AS upto")
+        cum = hist.alias("h").join(s, F.expr("h.source <=> s.source")).selectExpr("h.source", "s.budget", "h.head", "h.n", "h.words", "s.prefix + sum(h.words) OVER (PARTITION BY h.source ORDER BY h.head) AS upto")
         # Of the buckets, the first in which the budget ends; a source whose documents all fit has none and leaves.
         edge = cum.where("upto > budget").groupBy("source").agg(F.min(F.expr("struct(head, n, upto - words AS prefix, budget)")).alias("e"))
         state = stage(edge.selectExpr("source", "e.budget", "e.prefix", "e.head", f"shiftleft(e.head, {shift}) - 1 AS t", "e.n"), "mix-state")

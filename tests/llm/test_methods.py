@@ -317,6 +317,29 @@ def test_sharding_against_brute_force(spark):
     assert key(again) == key(out)
 
 
+@pytest.mark.parametrize("spread", [50, 40, 0])
+def test_thresholds_of_crowded_buckets(spark, spread):
+    """More documents than LEAF whose draws share their first bits: the boundary bucket is refined more than once."""
+    r = random.Random(spread)
+    rows = [(s, r.randrange(1, 50), (7 << 50) + r.randrange(1 << spread)) for s in ("a", "b", None) for _ in range(700)] + [("c", 5, i << 50) for i in range(40)]
+    words = {s: sum(x[1] for x in rows if x[0] == s) for s in ("a", "b", None, "c")}
+    budgets = {"a": 0.37 * words["a"], "b": 0.0, None: 0.92 * words[None], "c": words["c"] + 1.0}
+    cands, limits = spark.createDataFrame(rows, "source string, size long, draw long"), spark.createDataFrame(list(budgets.items()), "source string, budget double")
+    out = {x.source: x for x in mixing.thresholds(cands, limits).collect()}
+    for s, budget in budgets.items():
+        size_at, upto, over = {}, 0, None
+        for _, n, draw in (x for x in rows if x[0] == s):
+            size_at[draw] = size_at.get(draw, 0) + n
+        for draw in sorted(size_at):
+            if upto + size_at[draw] > budget:
+                over = draw
+                break
+            upto += size_at[draw]
+        x = out[s]
+        assert (x.got, x.next_draw, x.next_size) == (upto, over, size_at.get(over))
+        assert {d for d in size_at if d <= x.t} == {d for d in size_at if over is None or d < over}
+
+
 def test_scopes_delete_only_what_they_staged(spark):
     docs = spark.createDataFrame([(i, f"text {i} " * 30, "s") for i in range(50)], "doc_id long, text string, source string")
     frames = [sharding.query(docs), mixing.query(docs), minhash.query(docs)]

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from spanloom.llm import mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +44,17 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_mix_of_sources_larger_than_one_histogram(spark, monkeypatch):
+    """Boundary buckets with more documents than a leaf holds, as sources of millions have them: the mix is the one of running sums."""
+    r = random.Random(3)
+    rows = [(i, "word " * r.randrange(1, 40), "en", r.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = lambda: Counter(x.doc_id for x in corpus_pipeline.mixing_to_weights(spark, docs, "").select("doc_id").collect())
+    usual = taken()
+    monkeypatch.setattr(mixing, "LEAF", 1)
+    assert taken() == usual and max(usual.values()) > 1
+
+
 def test_edge_cases_of_every_stage(spark, tmp_path):
     """Nulls in any column, empty, blank and long texts, repeated rows, clashing column names, and an empty table."""
     r = random.Random(2)
