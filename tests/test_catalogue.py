@@ -35,6 +35,11 @@ def test_query(spark, duck, name):
         assert len(got) > 0
 
 
+def test_more_spans_than_are_broadcast(spark, duck, monkeypatch):
+    monkeypatch.setattr(catalogue.retrieval, "MOST_SPANS", 9)
+    test_query(spark, duck, "resolve_matches")
+
+
 def test_entry(spark):
     import __spark_entry__
 
