@@ -139,6 +139,21 @@ def test_extracted_spans(spark, with_odd_texts):
     assert got == sorted((r.doc_id, *x) for r in texts for x in index_spans(cleaned(r.text)))
 
 
+def test_extracted_spans_take_one_python_pass(spark, with_odd_texts):
+    plan = catalogue.QUERIES["extracted_spans"](spark, with_odd_texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan
+
+
+def test_spans_of_given_annotations_equal_the_single_pass(spark, with_odd_texts):
+    odd = ["the a An the", "12 34 NASA 12 3.14 15 A1 a1 II ii", "x² a² foo y½ bar", "éa foo bar", "İstanbul Big iſ foo", "The Red House the red-house IBM's", None, ""]
+    d = spark.createDataFrame([(10**7 + i, x) for i, x in enumerate(odd)], "doc_id long, text string").union(spark.read.parquet(f"{with_odd_texts}/documents.parquet").where("length(text) < 2000"))
+    rows = lambda df: sorted((r.doc_id, r.spans) for r in df.select("doc_id", "spans").where("spans IS NOT NULL").collect())
+    single = rows(catalogue.spans.extracted(d))
+    assert len(single) > 100 and single == rows(catalogue.spans.index_spans(catalogue.spans.annotate(d)))
+    null = d.where("text IS NULL")
+    assert null.count() == 1 and not rows(catalogue.spans.extracted(null)) and not rows(catalogue.spans.index_spans(catalogue.spans.annotate(null)))
+
+
 def test_graph_and_senses_take_all_rows(spark):
     t = catalogue.Tables(spark, SF)
     protos = t.protos.count()
