@@ -154,6 +154,32 @@ def test_spans_of_given_annotations_equal_the_single_pass(spark, with_odd_texts)
     assert null.count() == 1 and not rows(catalogue.spans.extracted(null)) and not rows(catalogue.spans.index_spans(catalogue.spans.annotate(null)))
 
 
+def test_an_index_encodes_texts_once_and_in_flat_pieces(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    plans = {}
+
+    class Seen(catalogue.store.TableSet):
+        def save(self, name, df, by=None):
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return super().save(name, df, by)
+
+    docs = spark.createDataFrame([(1, "One red fox met New York foxes."), (2, None), (3, "")], "doc_id long, text string")
+    catalogue.engine.index(docs, Seen(spark, str(tmp_path)))
+    assert plans["spans"].count("ArrowEvalPython [run(") == 1
+
+    e = catalogue.encoding.HashEncoder()
+    e.load()
+    texts = ["a bb ccc dd-e", "", "!", "x y"]
+    s, t = [[0, 0, 2, 4, 20], [0], [0], [0]], [[1, 8, 4, 13, 25], [0], [1], [3]]
+    got = catalogue.encoding.vectors_of(e.encode(texts), pa.array(s), pa.array(t)).to_pylist()
+    for own, (off, v), starts, ends in zip(got, e.encode(texts), s, t, strict=True):
+        at = [(off[:, 0] < y) & (off[:, 1] > x) for x, y in zip(starts, ends, strict=True)]
+        assert [x is None for x in own] == [not x.any() for x in at]
+        assert all(x is None or np.array_equal(x, v[y].mean(axis=0)) for x, y in zip(own, at, strict=True))
+
+
 def test_graph_and_senses_take_all_rows(spark):
     t = catalogue.Tables(spark, SF)
     protos = t.protos.count()
